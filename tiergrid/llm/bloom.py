@@ -91,8 +91,19 @@ class TwiceFilter:
         return get_bits(self._fields.reshape(-1), where)
 
 
-def twice_filter(packed: DataFrame, name: str, max_bits: int = MAX_BITS) -> TwiceFilter:
-    """Fill both filters from rows of PACKED and return the twice-seen one."""
+def hash_ids(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B185EBCA87)
+
+
+def member_filter(df: DataFrame, column: str, name: str, max_bits: int = MAX_BITS) -> TwiceFilter:
+    """A filter of the whole numbers in a column: the once-seen filter of the pair."""
+    packed = df.select(column).distinct().mapInArrow(lambda batches: (packed_rows(hash_ids(b.column(0).to_numpy())) for b in batches), PACKED)
+    return twice_filter(packed, name, max_bits, once=True)
+
+
+def twice_filter(packed: DataFrame, name: str, max_bits: int = MAX_BITS, once: bool = False) -> TwiceFilter:
+    """Fill both filters from rows of PACKED and return the twice-seen one, or the once-seen."""
     packed = materialise(packed, f"{name}-hashes")
     total = packed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     bits = 1 << max(10, int(np.ceil(np.log2(max(1, min(max_bits, total * BITS_PER_HASH) / SEGMENTS)))))
@@ -100,16 +111,16 @@ def twice_filter(packed: DataFrame, name: str, max_bits: int = MAX_BITS) -> Twic
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for s, once, twice in zip(*(batch.column(c).to_pylist() for c in ("seg", "once", "twice")), strict=True):
+            for s, first, again in zip(*(batch.column(c).to_pylist() for c in ("seg", "once", "twice")), strict=True):
                 one, two = fields.setdefault(s, (np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)))
-                hashes = np.frombuffer(once, np.uint64)
+                hashes = np.frombuffer(first, np.uint64)
                 where = positions(hashes, bits)
                 set_bits(two, where[:, get_bits(one, where)])
-                set_bits(two, positions(np.frombuffer(twice, np.uint64), bits))
+                set_bits(two, positions(np.frombuffer(again, np.uint64), bits))
                 set_bits(one, where)
         if fields:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(fields), pa.int32()), pa.array([zlib.compress(two.tobytes(), 1) for _, two in fields.values()], pa.binary())],
+                [pa.array(list(fields), pa.int32()), pa.array([zlib.compress(f[0 if once else 1].tobytes(), 1) for f in fields.values()], pa.binary())],
                 names=["seg", "bits"],
             )
 

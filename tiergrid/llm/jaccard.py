@@ -2,9 +2,9 @@
 
 Documents become sets of word shingles.  Two sets link when ``den * |x & y| >= num * |x | y|``, which asks for
 T common shingles, T following from the sizes.  DivideSkip parts the inverted lists of a set's
-shingles into long and short ones: the L = T - 1 most frequent shingles have the long lists, the
-others the short ones.  A partner must occur on a short list, so only those are stored, and
-heap-merged; whether a candidate stands on the long lists is then probed by binary search until T is
+shingles into long and short ones: the L = T - OCCURRENCES most frequent shingles have the long lists, the
+others the short ones.  A partner must occur on OCCURRENCES short lists, so only those are stored, and
+heap-merged; whether a candidate stands on enough long lists is then probed by binary search until T is
 reached or out of reach.
 
 What keeps it linear where texts repeat:
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import as_bytes, arrow_map, materialise, pack, small_batches
 from .graph import components
-from .shingles import mix, shingle_set
+from .shingles import mix, shingle_sets
 
 #: Shingles whose counts order the lists; the most frequent ones, a bounded table of 12 bytes each.
 MAX_RANKED = 1 << 19
@@ -39,6 +39,11 @@ COUNT_BLOCK, COUNT_LEAST = 1 << 22, 3
 #: Documents that a chunk of an inverted list holds in the mean.
 LIST_CHUNK = 4096
 LEADER_ROUNDS = 2
+#: Short lists that a partner must be on, where the sets are large enough to ask for as many.
+OCCURRENCES = 3
+
+
+_SALTS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 
 
 def required(a: int, b: int, num: int, den: int) -> int:
@@ -50,6 +55,11 @@ def least_partner(a: int, num: int, den: int) -> int:
     return -(-num * a // den)
 
 
+def occurrences(a: int, num: int, den: int) -> int:
+    """Short lists of a set of this size that a partner must be on; for a pair the less of both counts."""
+    return min(OCCURRENCES, least_partner(a, num, den))
+
+
 class Ranks:
     """Approximate counts of frequent shingles; orders a set from rare to frequent."""
 
@@ -64,8 +74,9 @@ class Ranks:
         return shingles[np.argsort(count, kind="stable")] if count.any() else shingles
 
     def short(self, shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-        """The shingles of the short lists: all but the T - 1 most frequent, T for the smallest partner."""
-        return self.order(shingles)[: len(shingles) - least_partner(len(shingles), num, den) + 1]
+        """The shingles of the short lists: all but the L most frequent, T for the smallest partner."""
+        n = len(shingles)
+        return self.order(shingles)[: n - least_partner(n, num, den) + occurrences(n, num, den)]
 
 
 def merge_short(lists: list[np.ndarray], occurrences: int = 1) -> np.ndarray:
@@ -99,24 +110,37 @@ def reaches(x: np.ndarray, y: np.ndarray, need: int, block: int = 512) -> bool:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
-    return [shingle_set(t, k) for t in as_bytes(batch.column("text"))]
+    return shingle_sets(as_bytes(batch.column("text")), k)
 
 
 def _arrays(column: pa.Array, dtype: type = np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def _verify(pairs: DataFrame, active: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y, and what else they hold) that link."""
-    other = [c for c in pairs.columns]
-    sets = active.select("doc_id", "shingles")
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, max_bits: int) -> DataFrame:
+    """The pairs (x, y, and what else they hold) that link.
+
+    Sets are made anew from the texts of those documents alone that stand in a pair, which a Bloom filter of
+    their ids picks while the texts are read.
+    """
+    other = pairs.columns
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, "doc_id", "jaccard-wanted", max_bits))
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = pa.array(wanted.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_())
+        batch = batch.filter(keep)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pack(_sets(batch, k))], names=["doc_id", "shingles"])
+
+    sets = arrow_map(docs.where("doc_id is not null"), make, "doc_id long, shingles binary")
+    sets = materialise(sets, "jaccard-wanted-sets")
     full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_set")), "y")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = [reaches(a, b, required(len(a), len(b), num, den)) for a, b in zip(_arrays(batch.column("x_set")), _arrays(batch.column("y_set")), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(c) for c in other], names=other).filter(pa.array(linked, pa.bool_()))
 
-    return arrow_map(full.select(*other, "x_set", "y_set"), check, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema))
+    return arrow_map(full.select(*other, "x_set", "y_set"), check, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)).distinct()
 
 
 def near_duplicates(
@@ -173,10 +197,14 @@ def near_duplicates(
     ranks = spark.sparkContext.broadcast(_ranks(first, max_ranked))
 
     def short_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens = [ranks.value.short(s, num, den) if len(s) else s for s in _sets(batch, k)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pack(tokens)], names=["doc_id", "tokens"])
+        sets = _sets(batch, k)
+        tokens = [ranks.value.short(s, num, den) if len(s) else s for s in sets]
+        marks = [[int(mix(s ^ _SALTS[r]).min().view(np.int64)) if len(s) else 0 for r in range(LEADER_ROUNDS)] for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pack(tokens), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens", "marks"])
 
-    short = arrow_map(docs.where("doc_id is not null"), short_lists, "doc_id long, tokens binary").join(reps, "doc_id", "left_semi")
+    kept = docs.where("doc_id is not null")
+    short = arrow_map(kept, short_lists, "doc_id long, n long, tokens binary, marks array<long>").where("n > 0").join(reps, "doc_id", "left_semi")
+    short = materialise(short, "jaccard-short")
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
         return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *_arrays(batch.column("tokens"))]))
@@ -184,34 +212,40 @@ def near_duplicates(
     twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(short.select("tokens"), hashes, bloom.PACKED), "jaccard", max_bits))
 
     def keep_active(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sets, tokens, marks = [], [], [], []
-        for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch, k), strict=True):
-            if not len(s):
-                continue
-            own = ranks.value.short(s, num, den)
-            own = own[twice.value.contains(own)]
-            if len(own):
-                ids.append(doc)
-                sets.append(s)
-                tokens.append(own)
-                marks.append([int(mix(s ^ np.uint64(r * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)).min().view(np.int64)) for r in range(LEADER_ROUNDS)])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pack(sets), pack(tokens), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "shingles", "tokens", "marks"])
-
-    active = arrow_map(docs.where("doc_id is not null"), keep_active, "doc_id long, n long, shingles binary, tokens binary, marks array<long>")
-    active = materialise(active.join(reps, "doc_id", "left_semi"), "jaccard-active")
+        """Documents with enough shingles on short lists that may hold another document."""
+        every = _arrays(batch.column("tokens"))
+        hits = twice.value.contains(np.concatenate([np.zeros(0, np.uint64), *every]))
+        own, at = [], 0
+        for t in every:
+            own.append(t[hits[at : at + len(t)]])
+            at += len(t)
+        enough = pa.array([len(t) >= occurrences(least_partner(n, num, den), num, den) for t, n in zip(own, batch.column("n").to_pylist(), strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pack(own), batch.column("marks")], names=["doc_id", "n", "tokens", "marks"]).filter(enough)
+
+    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, tokens binary, marks array<long>"), "jaccard-active")
 
     labels = active.select("doc_id", F.col("doc_id").alias("label")).distinct()
     for r in range(LEADER_ROUNDS):
-        roots = active.select("doc_id", F.col("marks")[r].alias("mark"))
+        roots = active.select("doc_id", "n", "tokens", F.col("marks")[r].alias("mark"))
         if r:
             roots = roots.join(labels.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
-        leaders = roots.groupBy("mark").agg(F.min("doc_id").alias("y"), F.max("doc_id").alias("last")).where("y < last").select("mark", "y")
-        pairs = roots.join(leaders, "mark").where("doc_id <> y").select(F.col("doc_id").alias("x"), "y").distinct()
-        tied = _verify(pairs, active, num, den).groupBy("x").agg(F.min("y").alias("y"))
+        leaders = roots.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("lead"), F.max("doc_id").alias("last")).where("lead.doc_id < last").select("mark", "lead")
+
+        def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Pairs of a document and its leader that share enough short lists and fit in size."""
+            n, m = batch.column("n").to_numpy(), batch.column("lead_n").to_numpy()
+            fits = (den * m >= num * n) & (num * m <= den * n)
+            share = [f and len(np.intersect1d(a, b)) >= min(occurrences(int(x), num, den), occurrences(int(y), num, den)) for f, a, b, x, y in zip(fits, _arrays(batch.column("tokens")), _arrays(batch.column("lead_tokens")), n, m, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lead_id")], names=["x", "y"]).filter(pa.array(share, pa.bool_()))
+
+        met = roots.join(leaders, "mark").where("doc_id <> lead.doc_id").select("doc_id", "n", "tokens", F.col("lead.doc_id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.tokens").alias("lead_tokens"))
+        pairs = materialise(arrow_map(met, alike, "x long, y long").distinct(), "jaccard-leaders")
+        tied = _verify(pairs, kept, k, num, den, max_bits).groupBy("x").agg(F.min("y").alias("y"))
         labels = labels.join(tied, F.col("label") == F.col("x"), "left").select("doc_id", F.coalesce("y", "label").alias("label"))
         labels = materialise(labels, "jaccard-labels")
 
-    links = _cross_links(active, labels, num, den)
+    candidates = _cross_candidates(active, labels, num, den)
+    links = _verify(candidates, kept, k, num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
     parts = components(links)
     final = classes.join(labels, "doc_id", "left").select("sig", F.coalesce("label", "doc_id").alias("label"))
     final = final.join(parts, F.col("label") == F.col("node"), "left").select("sig", F.coalesce("component", "label").alias("component_id"))
@@ -237,8 +271,8 @@ def _ranks(first: DataFrame, most: int) -> Ranks:
     return Ranks(hashes[order], np.minimum(c[order], 2**31 - 1).astype(np.int32))
 
 
-def _cross_links(active: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of leaders under which two documents link."""
+def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, label, other, y): pairs under different leaders that share enough short lists and fit in size."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = _arrays(batch.column("tokens"), np.int64)
@@ -266,9 +300,9 @@ def _cross_links(active: DataFrame, labels: DataFrame, num: int, den: int) -> Da
             fits = (den * sizes >= num * n) & (num * sizes <= den * n)
             if fits.any():
                 found.setdefault(other, []).append(np.array(ids, np.int64)[fits])
-        rows = [(other, int(y)) for other, short in found.items() for y in merge_short(short)]
+        need = occurrences(least_partner(n, num, den), num, den)
+        rows = [(other, int(y)) for other, short in found.items() if len(short) >= need for y in merge_short(short, need)]
         return pa.table({"x": pa.array([x] * len(rows), pa.int64()), "label": pa.array([part["label"][0].as_py()] * len(rows), pa.int64()), "other": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64())})
 
     candidates = met.groupBy("x", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
-    candidates = materialise(candidates, "jaccard-candidates")
-    return _verify(candidates, active, num, den).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
+    return materialise(candidates, "jaccard-candidates")

@@ -36,9 +36,8 @@ def minimizers(kmers: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(last)) + last)
 
 
-def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places, word fingerprints padded by W on either side with 0) of a text."""
-    words = word_hashes(text)
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places, word fingerprints padded by W on either side with 0) from a text's word hashes."""
     kmers = runs(words, K)
     places = minimizers(mix(kmers ^ np.uint64(0x5BD1E995)))
     prints = np.concatenate([np.zeros(W, np.uint8), (words >> np.uint64(56)).astype(np.uint8) | 1, np.zeros(W, np.uint8)])
@@ -180,14 +179,15 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     known = docs.where("doc_id is not null")
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *(np.unique(seeds(t)[0]) for t in as_bytes(batch.column("text")))]))
+        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *(np.unique(seeds(w)[0]) for w in word_hashes(as_bytes(batch.column("text"))))]))
 
     twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(known.select("text"), hashes, bloom.PACKED), "passages", max_bits))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, digests, hits, places, prints = [], [], [], [], []
-        for text in as_bytes(batch.column("text")):
-            h, p, marks = seeds(text)
+        texts = as_bytes(batch.column("text"))
+        for text, words in zip(texts, word_hashes(texts), strict=True):
+            h, p, marks = seeds(words)
             hit = twice.value.contains(h)
             counts.append(len(marks) - 2 * W)
             digests.append(xxhash.xxh3_128_digest(text))

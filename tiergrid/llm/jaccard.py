@@ -11,7 +11,8 @@ What keeps it linear where texts repeat:
 
 * equal sets are one class, found by a digest; copies never meet;
 * a pair of Bloom filters drops the short-list shingles that only one class holds, before any shuffle;
-* near copies are first tied to one leader for each least hash (two rounds, each link verified); later
+* near copies are first tied to one leader for each least hash, the document with the fewest rare shingles, as
+  the text from which copies were edited has (two rounds, each link verified); later
   only pairs under different leaders are sought, for only they can join components.  Groups of
   near copies of any size so cost a row a document, and no pair that could join components is lost.
 """
@@ -73,6 +74,13 @@ class Ranks:
         count = np.where(self.hashes[at] == shingles, self.counts[at], 0)
         return shingles[np.argsort(count, kind="stable")] if count.any() else shingles
 
+    def rare(self, shingles: np.ndarray) -> int:
+        """How many of the shingles have no count."""
+        if not len(self.hashes):
+            return len(shingles)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return int((self.hashes[at] != shingles).sum())
+
     def short(self, shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         """The shingles of the short lists: all but the L most frequent, T for the smallest partner."""
         n = len(shingles)
@@ -200,10 +208,10 @@ def near_duplicates(
         sets = _sets(batch, k)
         tokens = [ranks.value.short(s, num, den) if len(s) else s for s in sets]
         marks = [[int(mix(s ^ _SALTS[r]).min().view(np.int64)) if len(s) else 0 for r in range(LEADER_ROUNDS)] for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pack(tokens), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens", "marks"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ranks.value.rare(s) for s in sets], pa.int64()), pack(tokens), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "rare", "tokens", "marks"])
 
     kept = docs.where("doc_id is not null")
-    short = arrow_map(kept, short_lists, "doc_id long, n long, tokens binary, marks array<long>").where("n > 0").join(reps, "doc_id", "left_semi")
+    short = arrow_map(kept, short_lists, "doc_id long, n long, rare long, tokens binary, marks array<long>").where("n > 0").join(reps, "doc_id", "left_semi")
     short = materialise(short, "jaccard-short")
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,16 +228,16 @@ def near_duplicates(
             own.append(t[hits[at : at + len(t)]])
             at += len(t)
         enough = pa.array([len(t) >= occurrences(least_partner(n, num, den), num, den) for t, n in zip(own, batch.column("n").to_pylist(), strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pack(own), batch.column("marks")], names=["doc_id", "n", "tokens", "marks"]).filter(enough)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("rare"), pack(own), batch.column("marks")], names=["doc_id", "n", "rare", "tokens", "marks"]).filter(enough)
 
-    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, tokens binary, marks array<long>"), "jaccard-active")
+    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, rare long, tokens binary, marks array<long>"), "jaccard-active")
 
     labels = active.select("doc_id", F.col("doc_id").alias("label")).distinct()
     for r in range(LEADER_ROUNDS):
-        roots = active.select("doc_id", "n", "tokens", F.col("marks")[r].alias("mark"))
+        roots = active.select("doc_id", "n", "rare", "tokens", F.col("marks")[r].alias("mark"))
         if r:
             roots = roots.join(labels.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
-        leaders = roots.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("lead"), F.max("doc_id").alias("last")).where("lead.doc_id < last").select("mark", "lead")
+        leaders = roots.groupBy("mark").agg(F.min(F.struct("rare", "doc_id", "n", "tokens")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", "lead")
 
         def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
             """Pairs of a document and its leader that share enough short lists and fit in size."""
@@ -247,8 +255,10 @@ def near_duplicates(
     candidates = _cross_candidates(active, labels, num, den)
     links = _verify(candidates, kept, k, num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
     parts = components(links)
-    final = classes.join(labels, "doc_id", "left").select("sig", F.coalesce("label", "doc_id").alias("label"))
-    final = final.join(parts, F.col("label") == F.col("node"), "left").select("sig", F.coalesce("component", "label").alias("component_id"))
+    final = classes.join(labels, "doc_id", "left").select("sig", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    final = final.join(parts, F.col("label") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "label").alias("root"))
+    least = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    final = final.join(least, "root").select("sig", "component_id")
     by_class = meta.where("n > 0 and doc_id is not null").join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = meta.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return by_class.unionByName(alone)

@@ -1,7 +1,7 @@
 """Substring dedup by collinear chaining: passages that stand, perhaps edited, in an earlier document too.
 
 Seeds are minimizers of word k-mers: any stretch of K + W - 1 words that two documents share holds a common seed.
-Two Bloom filters drop the seeds that occur once before anything shuffles.  Each other occurrence of
+Two Bloom filters drop the seeds that occur once before they shuffle, and another keeps copies of an earlier text out.  Each other occurrence of
 a seed meets only its first one (least document, least place), so a passage that stands in a third of all
 documents costs a row for each occurrence, never a pair of them.  For each document the meetings with
 an earlier document are chained in order with gap costs, best predecessors coming from a Fenwick tree of prefix maxima;
@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .common import as_bytes, arrow_map, materialise, pack, small_batches
+from .mixing import word_counts
 from .shingles import mix, runs, word_hashes
 
 K, W = 6, 10
@@ -178,28 +178,34 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
 
+    classes = known.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("copy_of"))
+    classes = materialise(classes, "passages-classes")
+    firsts = classes.select(F.col("copy_of").alias("doc_id")).distinct()
+    first = spark.sparkContext.broadcast(bloom.member_filter(firsts, "doc_id", "passages-firsts", max_bits))
+
+    def own_words(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """Word hashes; none for copies of an earlier text, save a few that the filter lets through."""
+        ids = batch.column("doc_id").fill_null(0).to_numpy()
+        keep = first.value.contains(bloom.hash_ids(ids))
+        return word_hashes([t if k else b"" for t, k in zip(as_bytes(batch.column("text")), keep, strict=True)])
+
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *(np.unique(seeds(w)[0]) for w in word_hashes(as_bytes(batch.column("text"))))]))
+        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *(np.unique(seeds(w)[0]) for w in own_words(batch))]))
 
-    twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(known.select("text"), hashes, bloom.PACKED), "passages", max_bits))
+    twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(known, hashes, bloom.PACKED), "passages", max_bits))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digests, hits, places, prints = [], [], [], [], []
-        texts = as_bytes(batch.column("text"))
-        for text, words in zip(texts, word_hashes(texts), strict=True):
+        hits, places, prints = [], [], []
+        for words in own_words(batch):
             h, p, marks = seeds(words)
             hit = twice.value.contains(h)
-            counts.append(len(marks) - 2 * W)
-            digests.append(xxhash.xxh3_128_digest(text))
             hits.append(h[hit])
             places.append(p[hit].astype(np.int32))
             prints.append(marks[p[hit][:, None] + np.arange(2 * W + K)] if hit.any() else np.zeros(0, np.uint8))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pack(hits), pack(places), pack(prints)], names=["doc_id", "n_words", "digest", "hashes", "places", "prints"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pack(hits), pack(places), pack(prints)], names=["doc_id", "hashes", "places", "prints"])
 
-    measured = materialise(arrow_map(docs, measure, "doc_id long, n_words long, digest binary, hashes binary, places binary, prints binary"), "passages-seeds")
-    classes = measured.where("doc_id is not null and n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
-    classes = materialise(classes, "passages-classes")
-    reps = measured.join(classes.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").where("length(hashes) > 0")
+    measured = arrow_map(known, measure, "doc_id long, hashes binary, places binary, prints binary").where("length(hashes) > 0")
+    reps = measured.join(firsts, "doc_id", "left_semi")
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         size = 2 * W + K
@@ -212,8 +218,11 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     hits = arrow_map(reps.select("doc_id", "hashes", "places", "prints"), explode, "h long, doc_id long, place int, around binary")
     hits = materialise(hits, "passages-hits")
-    firsts = hits.groupBy("h").agg(F.min(F.struct("doc_id", "place", "around")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", "first")
-    met = hits.join(firsts, "h").where("doc_id <> first.doc_id")
+    ends = hits.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    shared = spark.sparkContext.broadcast(bloom.member_filter(ends, "h", "passages-shared", max_bits))
+    hits = arrow_map(hits, lambda batch: batch.filter(pa.array(shared.value.contains(bloom.hash_ids(batch.column("h").to_numpy())), pa.bool_())), "h long, doc_id long, place int, around binary")
+    anchors = hits.groupBy("h").agg(F.min(F.struct("doc_id", "place", "around")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", "first")
+    met = hits.join(anchors, "h").where("doc_id <> first.doc_id")
     met = met.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("place").alias("x"), F.col("first.doc_id").alias("d"), F.col("first.place").alias("y"), F.col("around").alias("own"), F.col("first.around").alias("other"))).alias("m"))
     met = met.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in ("x", "d", "y", "own", "other")))
 
@@ -228,7 +237,8 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     shape = "array<struct<start:long,end:long,earlier:long,earlier_start:long>>"
     spans = arrow_map(met, chain, f"doc_id long, spans {shape}")
-    all_docs = measured.select("doc_id", "n_words", "digest").join(classes, "digest", "left").join(spans, "doc_id", "left")
+    counted = arrow_map(docs.withColumn("digest", F.sha2("text", 256)), lambda batch: pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(word_counts(batch.column("text")))], names=["doc_id", "digest", "n_words"]), "doc_id long, digest string, n_words long")
+    all_docs = counted.join(classes, "digest", "left").join(spans, "doc_id", "left")
     copied = F.col("copy_of") < F.col("doc_id")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("copy_of").alias("earlier"), F.lit(0).cast("long").alias("earlier_start")))
     listed = F.when(copied, whole).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {shape})")))

@@ -1,0 +1,382 @@
+"""The text operators against brute force, on small tables with nulls, ties, copies and clashing columns."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from hashlib import sha256
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tiergrid.llm import bpe, hamming, html, jaccard, line_dedup, media, mixing, pii, quality, queries, substring, webp
+
+SF = "/root/testdata/sf0.001"
+EXTRA = "n_lines long, component_id long, size long, ids string, key string"
+
+
+def words(rng, n):
+    return [rng.choice("alpha beta gamma delta omega Über Zoë x1 the of and to in".split()) + str(rng.randrange(60)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = words(rng, 90)
+    near = [*base[:40], "changed", *base[41:]]
+    passage = words(rng, 70)
+    out = [" ".join(base), " ".join(base), " ".join(near), " ".join([*words(rng, 30), *passage]), " ".join([*passage, *words(rng, 25)]), None, "", " \n\t", "One repeated line\n short \n ONE repeated LINE \nend of text", "x\nOne Repeated Line", "a b", "A  B", "z" * 9000 + " " + "ab" * 4000]
+    return out + [" ".join(words(rng, rng.randrange(1, 60))) for _ in range(12)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 5, t, "en", (None, "s1", "s0")[i % 3], 1, 2, 3, "i", "k") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, texts[0], "en", "s1", 1, 2, 3, "i", "k")], f"doc_id long, text string, lang string, source string, {EXTRA}")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where(F.lit(False))
+
+
+def by_id(df, key="doc_id"):
+    rows = df.collect()
+    return {r[key]: r for r in rows if r[key] is not None}, rows
+
+
+def test_line_dedup(docs, texts, empty):
+    got, rows = by_id(line_dedup.dedup_lines(docs))
+    assert len(rows) == len(texts) + 1
+    holders: dict[str, int] = {}
+    key = lambda s: s.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    for i, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), i * 5)
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or holders[key(x)] == i * 5]
+        assert (got[i * 5]["n_lines"], got[i * 5]["n_dropped"], got[i * 5]["text"]) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def brute_components(sets, num, den):
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and den * len(a & b) >= num * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 50)])
+def test_near_duplicates(docs, texts, k, num):
+    def shingles(t):
+        w = (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for t in texts]
+    want = brute_components(sets, num, 100)
+    got, rows = by_id(jaccard.near_duplicates(docs, k=k, num=num))
+    assert len(rows) == len(texts) + 1
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i * 5: (len(s), want[i] * 5) for i, s in enumerate(sets)}
+
+
+def test_divide_skip_parts():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        lists = [np.unique(rng.integers(0, 30, 8)) for _ in range(5)]
+        for t in (1, 2, 3):
+            assert jaccard.merge_short(lists, t).tolist() == [x for x in range(30) if sum(x in a for a in lists) >= t]
+        a, b = (np.unique(rng.integers(0, 900, 700)).astype(np.uint64) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        assert jaccard.reaches(a, b, both) and not jaccard.reaches(a, b, both + 1)
+
+
+def test_near_duplicates_of_nothing(empty):
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_substring(docs, texts, empty):
+    got, rows = by_id(substring.repeated_passages(docs))
+    assert len(rows) == len(texts) + 1
+    assert got[5]["copy_of"] == 0 and got[5]["n_repeated"] == 90
+    assert got[10]["first_doc"] == 0 and got[10]["n_repeated"] >= 88
+    (p,) = got[20]["passages"]
+    assert (p["start"], p["end"], p["earlier"], p["earlier_start"]) == (0, 70, 15, 30)
+    assert all(got[i * 5]["n_repeated"] == 0 for i in range(len(texts)) if i not in (1, 2, 4))
+    assert substring.repeated_passages(empty).count() == 0
+
+
+def test_chains():
+    rng = random.Random(2)
+    for _ in range(30):
+        n = rng.randrange(1, 12)
+        pts = [(rng.randrange(40), rng.randrange(40)) for _ in range(n)]
+        x, y = [p[0] for p in pts], [p[1] for p in pts]
+        found = substring.chains(x, y)
+        assert sorted(i for c in found for i in c) == list(range(n))
+        for c in found:
+            assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 64))
+    v[10:20] = v[5]
+    rows = [(i, [float(a) for a in x]) for i, x in enumerate(v)] + [(400, None), (450, [float("nan")] * 64), (None, [1.0] * 64)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, code int")
+    codes = {i: hamming.code_of(e) for i, e in rows if i is not None}
+    got: dict[int, list] = {}
+    for r in hamming.top_k(df, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    want = {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:7] for q in codes if q % 50 == 0}
+    assert got == want
+    assert hamming.top_k(df.where(F.lit(False))).count() == 0
+
+
+def test_mixing(spark, docs, texts, empty):
+    rows = mixing.mix_sources(docs).collect()
+    again = mixing.mix_sources(docs).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == len(texts) + 1
+    sizes = {}
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        sizes.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
+        sizes[r["source"]][0] += r["taken"]
+        sizes[r["source"]][1] += r["size"]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert order[-1] is None
+    want = mixing.waterfill([sizes[s][3] for s in order], [5.0, 2.0, 1.0])
+    for s, t in zip(order, want, strict=True):
+        assert sizes[s][1] == sizes[s][3] and abs(sizes[s][2] - t) < 1e-6 and abs(sizes[s][0] - t) < 0.05 * t + 5
+    assert mixing.mix_sources(empty).count() == 0
+    weighed = mixing.mix_sources(docs.withColumn("w", (F.col("doc_id") % 7 + 1)), weight_col="w").collect()
+    assert [r for r in weighed if not 0 <= r["taken"] <= 3 * r["size"]] == []
+
+
+def test_waterfill():
+    assert mixing.waterfill([10, 100, 10], [5, 2, 1]) == pytest.approx([30, 60, 30])
+    assert mixing.waterfill([0, 0], [5, 2]) == [0, 0] and mixing.waterfill([], []) == []
+
+
+def test_html():
+    assert html.extract("<title>t</title><p>a<p>b<ul><li>1<li>2</ul><script>x</script><p hidden>no") == "a\n\nb\n\n- 1\n- 2"
+    assert html.extract("<table><tr><th>A<th>Bee<tr><td>1<td>2 3</table>") == "A  Bee\n1  2 3"
+    assert html.extract("<div style='display:none'>x</div>y<br>z &amp; <!-- c -->w") == "y\nz & w"
+    assert html.extract("<ol start=3><li>x<ul><li>y</ul><li>z</ol>") == "3. x\n   - y\n4. z" and html.extract("1 < 2 <b>c") == "1 < 2 c"
+    assert html.extract("<div>" * 5000 + "deep") == "deep"
+
+
+def test_html_pages(spark):
+    df = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t"), (1, "", "t")], "page_id long, html string, text string")
+    assert sorted((r["text"], r["n_lines"]) for r in html.extract_pages(df).collect()) == [("", 0), ("", 0), ("a", 1)]
+
+
+def huffman(w, lengths):
+    webp.put_lengths(w, lengths)
+    return {s: (c, n) for s, n, c in webp.canonical(lengths)}
+
+
+def lossless(width, height, body, transforms=()):
+    """A file whose main image is written by ``body`` with 8-bit literals, a 2-bit cache and back-references."""
+    w = webp.BitWriter()
+    webp.put_size(w, width, height)
+    for put in transforms:
+        w.put(1, 1)
+        put(w)
+    w.put(0, 1)
+    body(w)
+    return webp.container(w.bits())
+
+
+def literals(w, pixels, main, cache=0, tokens=None):
+    w.put(1 if cache else 0, 1)
+    if cache:
+        w.put(cache, 4)
+    if main:
+        w.put(0, 1)
+    green = [9] * 256 + [6] * 24 + [6] * (1 << cache if cache else 0)
+    total = sum(2.0**-n for n in green)
+    green[0:0] = []
+    n = len(green)
+    short = n <= 512
+    size = 9 if short else 10
+    green = [size if i >= (1 << size) - n else size - 1 for i in range(n)] if n > 256 else [8] * 256
+    assert total > 0 and sum(2.0**-x for x in green) == 1.0
+    codes = [huffman(w, green)] + [huffman(w, [8] * 256) for _ in range(3)]
+    dist = huffman(w, [6 if i >= 24 else 5 if i < 24 else 0 for i in range(40)])
+    for t in tokens if tokens is not None else [tuple(p) for p in pixels.reshape(-1, 4).tolist()]:
+        if t[0] == "copy":  # (copy, length 1..4, distance code 1..4)
+            w.put(*codes[0][256 + t[1] - 1])
+            w.put(*dist[t[2] - 1])
+        elif t[0] == "cache":
+            w.put(*codes[0][280 + t[1]])
+        else:
+            for c, v in zip(codes, t, strict=True):
+                w.put(*c[int(v)])
+
+
+def test_webp_back_references_and_cache():
+    a, b = (10, 20, 30, 255), (1, 2, 3, 4)
+    slot = lambda p: (webp.CACHE_FACTOR * (p[3] << 24 | p[1] << 16 | p[0] << 8 | p[2]) & 0xFFFFFFFF) >> 30
+    tokens = [a, b, ("copy", 4, 2), ("cache", slot(b)), ("copy", 1, 1)]
+    got = webp.decode(lossless(4, 2, lambda w: literals(w, None, True, 2, tokens)))
+    want = [a, b, b, b, b, b, b, b]
+    assert got.reshape(-1, 4).tolist()[:7] == [list(p) for p in want[:7]] and got.shape == (2, 4, 4)
+    assert got[1, 3].tolist() == got[0, 3].tolist()
+
+
+def test_webp_transforms():
+    rng = np.random.default_rng(4)
+    raw = rng.integers(0, 256, (8, 8, 4)).astype(np.uint8)
+    for mode in range(14):
+        modes = np.zeros((2, 2, 4), np.uint8)
+        modes[:, :, webp.GREEN] = mode
+        stored = raw.copy().astype(int)
+        rows = raw.astype(int).tolist()
+        for y in range(8):
+            for x in range(8):
+                guess = [0, 0, 0, 255] if not (x or y) else rows[0][x - 1] if not y else rows[y - 1][0] if not x else webp.predict(mode, rows[y][x - 1], rows[y - 1][x], rows[y - 1][x - 1], rows[y - 1][x + 1] if x < 7 else rows[y][0])
+                stored[y, x] -= guess
+        stored = (stored & 255).astype(np.uint8)
+
+        def put(w, modes=modes):
+            w.put(0, 2)
+            w.put(0, 3)
+            literals(w, modes, False)
+
+        assert (webp.decode(lossless(8, 8, lambda w, s=stored: literals(w, s, True), [put])) == raw).all(), mode
+    green = raw.copy()
+    green[:, :, 1] -= raw[:, :, 0]
+    green[:, :, 2] -= raw[:, :, 0]
+    assert (webp.decode(lossless(8, 8, lambda w: literals(w, green, True), [lambda w: w.put(2, 2)])) == raw).all()
+    element = np.array([[[3, 250, 7, 255]]], np.uint8)  # red to blue 250, green to blue 3, green to red 7
+    s = lambda v: int(np.uint8(v).view(np.int8))
+    crossed = raw.astype(int)
+    for p, q in zip(crossed.reshape(-1, 4), raw.reshape(-1, 4), strict=True):
+        p[1] -= s(7) * s(q[0]) >> 5
+        p[2] -= (s(3) * s(q[0]) >> 5) + (s(250) * s(q[1]) >> 5)
+
+    def put_cross(w):
+        w.put(1, 2)
+        w.put(1, 3)
+        literals(w, element, False)
+
+    assert (webp.decode(lossless(8, 8, lambda w: literals(w, (crossed & 255).astype(np.uint8), True), [put_cross])) == raw).all()
+
+
+@pytest.mark.parametrize("colours", [2, 4, 16, 40])
+def test_webp_palette(colours):
+    rng = np.random.default_rng(6)
+    table = rng.integers(0, 256, (colours, 4)).astype(np.uint8)
+    index = rng.integers(0, colours, (3, 9))
+    per = 8 if colours <= 2 else 4 if colours <= 4 else 2 if colours <= 16 else 1
+    packed = np.zeros((3, -(-9 // per), 4), np.uint8)
+    for y in range(3):
+        for x in range(9):
+            packed[y, x // per, 0] |= index[y, x] << (x % per * (8 // per))
+    delta = np.diff(table.astype(int), axis=0, prepend=0).astype(np.uint8)[None]
+
+    def put(w):
+        w.put(3, 2)
+        w.put(colours - 1, 8)
+        literals(w, delta, False)
+
+    assert (webp.decode(lossless(9, 3, lambda w: literals(w, packed, True), [put])) == table[index]).all()
+
+
+def test_media(docs, texts):
+    got, rows = by_id(media.media_columns(docs))
+    assert len(rows) == len(texts) + 1
+    for i, t in enumerate(texts):
+        payload = media.pad((t or "").encode())
+        r = got[i * 5]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert b"".join(p.tobytes() for p in media.load(bytes(r["media"]))) == payload
+    assert got[0]["feature"] == got[5]["feature"]
+
+
+def test_media_of_several_images(monkeypatch):
+    monkeypatch.setattr(media, "MAX_ROWS", 2)
+    payload = media.pad(bytes(range(256)) * 20)
+    assert b"".join(p.tobytes() for p in media.load(media.store(payload))) == payload
+
+
+def test_quality(spark, docs, empty):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = queries.op8_quality_classifier(spark, SF).join(labels, "doc_id").collect()
+    assert len(out) == labels.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+    held = [r for r in out if r["held_out"]]
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.9
+    nothing = quality.fit(d, labels.where(F.lit(False)))
+    assert {r["score"] for r in quality.score_quality(docs, nothing).collect()} == {1.0}
+    assert quality.score_quality(empty, nothing).count() == 0
+    one = quality.fit(d, labels.withColumn("text", F.lit("x")), max_labelled=5)
+    assert all(0 <= r["score"] <= 1 for r in quality.score_quality(docs, one).collect())
+
+
+def test_bpe(docs, texts):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    got, rows = by_id(bpe.encode_decode(docs, path, leaf=256))
+    assert len(rows) == len(texts) + 1
+    for i, x in enumerate(texts):
+        want = t.encode(x or "", add_special_tokens=False).ids
+        assert np.frombuffer(bytes(got[i * 5]["ids"]), "<u4").tolist() == want and got[i * 5]["decoded"] == t.decode(want, skip_special_tokens=False)
+
+
+def test_tree_concatenation():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    with open(path, encoding="utf-8") as f:
+        c = bpe.Codec(f.read())
+    t, rng = Tokenizer.from_file(path), random.Random(8)
+    for n in (1, 5, 40, 700):
+        for letters in ("ab", "theor", "abcdefghij", "aé漢<|'s1"):
+            s = "".join(rng.choice(letters) for _ in range(n)) + "<|endoftext|>" + "".join(rng.choice(letters) for _ in range(n))
+            ids = []
+            for p in c.parts(s):
+                ids += [p] if isinstance(p, int) else c.concatenate([c.merge(c.symbols(p[i : i + 7], i + 7 >= len(p))) for i in range(0, len(p), 7)])
+            assert ids == t.encode(s, add_special_tokens=False).ids
+
+
+def test_pii(docs, texts):
+    assert pii.spelled(pii.base_spans("a@b.co 1.2.3.4 256.1.1.1 x 4111 1111 1111 1111 +1 (235) 555-2058")) == "email:0:6,ip:7:14,card:27:46,phone:47:64"
+    text = 'call (235) 555-2058 now, token = "e7fbfec6a80404dc513b99d3fdbf2a6e53400638" and a@b.co'
+    spans = pii.base_spans(text) + pii.added_spans(text, pii.base_spans(text), pii.train())
+    assert {pii.KINDS[k] for k, _, _ in spans} >= {"email", "secret"} and pii.base_spans(text)[0] in spans
+    _, rows = by_id(pii.find_pii(docs))
+    assert len(rows) == len(texts) + 1
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in p.STAGES[:3]:
+        before = docs.count()
+        docs = p.materialise(stage(spark, docs, SF), f"test-{name}")
+        assert tuple(docs.columns) == p.COLUMNS and docs.count() <= before and docs.select("doc_id").distinct().count() == docs.count()
+    assert all(set(r["text"].split("\n")) <= set(seen[r["doc_id"]].split("\n")) for r in docs.collect())
+    near = jaccard.near_duplicates(docs)
+    assert near.where("component_id <> doc_id").isEmpty()
+    mixed = p.mix(spark, docs, SF)
+    assert p.tokenize(spark, mixed, SF).count() == mixed.count()
+
+
+def test_line_dedup_equals_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = c.sql(queries.ORACLES["op1_line_dedup"]).df()
+    got = queries.op1_line_dedup(spark, SF).toPandas()
+    columns = list(got.columns)
+    assert sorted(map(tuple, got[columns].astype(str).to_numpy().tolist())) == sorted(map(tuple, want[columns].astype(str).to_numpy().tolist()))

@@ -64,7 +64,7 @@ def waterfill(sizes: list[float], weights: list[float], cap: float = MAX_COPIES)
                 targets[i] = left * weights[i] / total
             break
         for i in over:
-            targets[i] = cap * sizes[i]
+            targets[i] = float(cap * sizes[i])
             left -= targets[i]
             open_.discard(i)
     return targets
@@ -146,7 +146,7 @@ def mix_sources(
     ranked = ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
     place = F.col("rank") / (1 + F.col("rank"))  # in (0, 1), in the same order
     bins = F.greatest(F.lit(1), F.ceil(F.col("documents") / BIN_DOCUMENTS))
-    ranked = ranked.withColumn("bin", F.least(F.floor(place * bins), bins - 1).cast("long"))
+    ranked = ranked.withColumn("bin", F.when(F.col("rank").isNotNull(), F.least(F.floor(place * bins), bins - 1)).cast("long"))
     by_bin = ranked.groupBy("source", "bin").agg(F.first("target").alias("target"), F.sum(F.when(F.col("rank").isNotNull(), F.col("size"))).alias("bin_words"), F.sum(F.col("certain") * F.col("size")).alias("certain_words"))
     run = Window.partitionBy("source").orderBy(F.col("bin").asc_nulls_first())  # rows: one for each bin of a source
     by_bin = by_bin.withColumn("gap", F.col("target") - F.sum("certain_words").over(Window.partitionBy("source"))).withColumn("before", F.coalesce(F.sum("bin_words").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

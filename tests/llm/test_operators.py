@@ -90,12 +90,27 @@ def test_divide_skip_parts():
     for _ in range(50):
         lists = [np.unique(rng.integers(0, 30, 8)) for _ in range(5)]
         for t in (1, 2, 3):
-            assert jaccard.merge_short(lists, t).tolist() == [x for x in range(30) if sum(x in a for a in lists) >= t]
+            rows = jaccard.merge_short([[(x, x % 2) for x in a] for a in lists]).tolist()
+            assert [r[0] for r in rows if r[2] >= t] == [x for x in range(30) if sum(x in a for a in lists) >= t]
+            assert all(r[1] == r[0] % 2 for r in rows)
         a, b = (np.unique(rng.integers(0, 900, 700)).astype(np.uint64) for _ in range(2))
         both = len(np.intersect1d(a, b))
         assert jaccard.reaches(a, b, both) and not jaccard.reaches(a, b, both + 1)
 
 
+def test_linking_sets_share_enough_short_lists():
+    rng = np.random.default_rng(2)
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        for _ in range(400):
+            base = rng.choice(600, rng.integers(1, 120), replace=False)
+            a, b = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.97], rng.integers(600, 700, rng.integers(1, 6))])).astype(np.uint64) for _ in range(2))
+            table = np.unique(rng.integers(0, 700, 300)).astype(np.uint64)
+            ranks = jaccard.Ranks(table, rng.integers(1, 40, len(table)).astype(np.int32))
+            if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                shared = np.intersect1d(ranks.short(a, num, den), ranks.short(b, num, den))
+                assert len(shared) >= jaccard.least_shared(len(a), len(b), num, den) >= 1
+
+
 def test_near_duplicates_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 

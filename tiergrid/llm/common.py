@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Documents in one Arrow batch; texts may be long, and a worker holds a batch at a time.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 _folders: dict[str, str] = {}
 
@@ -56,10 +57,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session already asks for smaller ones."""
+    """Keep Arrow batches of texts small in rows and bytes, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(key).removesuffix("b")
+    if not limit.isdigit() or int(limit) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -2,10 +2,10 @@
 
 Documents become sets of word shingles.  Two sets link when ``den * |x & y| >= num * |x | y|``, which asks for
 T common shingles, T following from the sizes.  DivideSkip parts the inverted lists of a set's
-shingles into long and short ones: the L = T - OCCURRENCES most frequent shingles have the long lists, the
-others the short ones.  A partner must occur on OCCURRENCES short lists, so only those are stored, and
-heap-merged; whether a candidate stands on enough long lists is then probed by binary search until T is
-reached or out of reach.
+shingles into long and short ones: the L = T - OCCURRENCES most frequent shingles have the long lists, T being that of
+the smallest partner, the others the short ones.  Only short lists are stored, and heap-merged; a partner must occur
+on T - L of them, with the T of both sizes, so that a near copy just under the threshold falls out there.  Whether a
+candidate stands on enough long lists is then probed by binary search until T is reached or out of reach.
 
 What keeps it linear where texts repeat:
 
@@ -20,7 +20,7 @@ What keeps it linear where texts repeat:
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +57,21 @@ def least_partner(a: int, num: int, den: int) -> int:
 
 
 def occurrences(a: int, num: int, den: int) -> int:
-    """Short lists of a set of this size that a partner must be on; for a pair the less of both counts."""
+    """Short lists of a set of this size that its smallest partner must be on."""
     return min(OCCURRENCES, least_partner(a, num, den))
 
 
+def least_shared(a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Short lists that a set of size ``a`` and one of each size in ``b`` must share to link: T less the long lists.
+
+    All sets follow one order of shingles, so the set whose short lists end first has all it shares there on short
+    lists of the other too; what else it shares is at most its own long lists.
+    """
+    b = np.asarray(b, np.int64)
+    longs = [n - np.minimum(OCCURRENCES, n) for n in (-(-num * a // den), -(-num * b // den))]
+    return -(-num * (a + b) // (num + den)) - np.maximum(*longs)
+
+
 class Ranks:
     """Approximate counts of frequent shingles; orders a set from rare to frequent."""
 
@@ -87,17 +98,28 @@ class Ranks:
         return self.order(shingles)[: n - least_partner(n, num, den) + occurrences(n, num, den)]
 
 
-def merge_short(lists: list[np.ndarray], occurrences: int = 1) -> np.ndarray:
-    """Ids on at least ``occurrences`` of the sorted lists, by a heap merge."""
-    if len(lists) == 1 and occurrences == 1:
-        return lists[0]
-    found, last, count = [], None, 0
-    for x in heapq.merge(*(a.tolist() for a in lists)):
-        count = count + 1 if x == last else 1
-        last = x
-        if count == occurrences:
-            found.append(x)
-    return np.array(found, np.int64)
+def merge_short(lists: list[Iterable[tuple[int, int]]], least: int = 1) -> np.ndarray:
+    """(id, size, how many of the sorted lists hold them) for what stands on ``least`` of them, by a heap merge."""
+    rows: list[tuple[int, int, int]] = []
+    last, count = None, 0
+    for x in heapq.merge(*lists):
+        if x == last:
+            count += 1
+            continue
+        if count >= least:
+            rows.append((*last, count))
+        last, count = x, 1
+    if count >= least:
+        rows.append((*last, count))
+    return np.array(rows, np.int64).reshape(-1, 3)
+
+
+def _fitting(ids: np.ndarray, sizes: np.ndarray, n: int, num: int, den: int, block: int = 256) -> Iterator[tuple[int, int]]:
+    """(id, size) of a list whose sizes fit a set of size ``n``, a block in memory at a time."""
+    for at in range(0, len(ids), block):
+        m = sizes[at : at + block]
+        fits = (den * m >= num * n) & (num * m <= den * n)
+        yield from zip(ids[at : at + block][fits].tolist(), m[fits].tolist(), strict=True)
 
 
 def reaches(x: np.ndarray, y: np.ndarray, need: int, block: int = 512) -> bool:
@@ -243,7 +265,7 @@ def near_duplicates(
             """Pairs of a document and its leader that share enough short lists and fit in size."""
             n, m = batch.column("n").to_numpy(), batch.column("lead_n").to_numpy()
             fits = (den * m >= num * n) & (num * m <= den * n)
-            share = [f and len(np.intersect1d(a, b)) >= min(occurrences(int(x), num, den), occurrences(int(y), num, den)) for f, a, b, x, y in zip(fits, _arrays(batch.column("tokens")), _arrays(batch.column("lead_tokens")), n, m, strict=True)]
+            share = [f and len(np.intersect1d(a, b)) >= least_shared(int(x), int(y), num, den) for f, a, b, x, y in zip(fits, _arrays(batch.column("tokens")), _arrays(batch.column("lead_tokens")), n, m, strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lead_id")], names=["x", "y"]).filter(pa.array(share, pa.bool_()))
 
         met = roots.join(leaders, "mark").where("doc_id <> lead.doc_id").select("doc_id", "n", "tokens", F.col("lead.doc_id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.tokens").alias("lead_tokens"))
@@ -282,7 +304,7 @@ def _ranks(first: DataFrame, most: int) -> Ranks:
 
 
 def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, label, other, y): pairs under different leaders that share enough short lists and fit in size."""
+    """(x, label, other, y): pairs under different leaders that share as many short lists as their sizes ask for."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = _arrays(batch.column("tokens"), np.int64)
@@ -304,15 +326,19 @@ def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int)
 
     def search(part: pa.Table) -> pa.Table:
         x, n = part["x"][0].as_py(), part["x_n"][0].as_py()
-        found: dict[int, list[np.ndarray]] = {}
-        for other, ids, sizes in zip(part["other"].to_pylist(), part["ids"].to_pylist(), part["sizes"].to_pylist(), strict=True):
-            sizes = np.array(sizes)
-            fits = (den * sizes >= num * n) & (num * sizes <= den * n)
-            if fits.any():
-                found.setdefault(other, []).append(np.array(ids, np.int64)[fits])
         need = occurrences(least_partner(n, num, den), num, den)
-        rows = [(other, int(y)) for other, short in found.items() if len(short) >= need for y in merge_short(short, need)]
+        ids, sizes = part["ids"].combine_chunks(), part["sizes"].combine_chunks()
+        cuts, all_ids, all_sizes = ids.offsets.to_numpy(), ids.values.to_numpy(), sizes.values.to_numpy()
+        size_cuts = sizes.offsets.to_numpy()
+        found: dict[int, list[int]] = {}
+        for row, other in enumerate(part["other"].to_pylist()):
+            found.setdefault(other, []).append(row)
+        rows = []
+        for other, lists in found.items():
+            if len(lists) >= need:
+                merged = merge_short([_fitting(all_ids[cuts[r] : cuts[r + 1]], all_sizes[size_cuts[r] : size_cuts[r + 1]], n, num, den) for r in lists], need)
+                rows += [(other, int(y)) for y in np.unique(merged[merged[:, 2] >= least_shared(n, merged[:, 1], num, den), 0])]
         return pa.table({"x": pa.array([x] * len(rows), pa.int64()), "label": pa.array([part["label"][0].as_py()] * len(rows), pa.int64()), "other": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64())})
 
-    candidates = met.groupBy("x", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
+    candidates = met.groupBy("x", "x_n", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
     return materialise(candidates, "jaccard-candidates")

@@ -106,9 +106,14 @@ def test_linking_sets_share_enough_short_lists():
             a, b = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.97], rng.integers(600, 700, rng.integers(1, 6))])).astype(np.uint64) for _ in range(2))
             table = np.unique(rng.integers(0, 700, 300)).astype(np.uint64)
             ranks = jaccard.Ranks(table, rng.integers(1, 40, len(table)).astype(np.int32))
+            marks = [np.frombuffer(jaccard.sketch(x), np.uint64) for x in (a, b)]
+            assert jaccard.apart(marks[0], marks[1][None])[0] <= len(np.setxor1d(a, b))
             if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
                 shared = np.intersect1d(ranks.short(a, num, den), ranks.short(b, num, den))
                 assert len(shared) >= jaccard.least_shared(len(a), len(b), num, den) >= 1
+                a, b = sorted((a, b), key=len, reverse=True)
+                listed = np.intersect1d(ranks.short(a, num, den), ranks.short(b, num, den)[: jaccard.indexed(len(b), num, den)])
+                assert len(listed) >= jaccard.least_listed(len(a), len(b), num, den) >= 1
 
 
 def test_near_duplicates_of_nothing(empty):

@@ -4,8 +4,8 @@ Documents become sets of word shingles.  Two sets link when ``den * |x & y| >= n
 T common shingles, T following from the sizes.  DivideSkip parts the inverted lists of a set's
 shingles into long and short ones: the L = T - OCCURRENCES most frequent shingles have the long lists, T being that of
 the smallest partner, the others the short ones.  Only short lists are stored, and heap-merged; a partner must occur
-on T - L of them, with the T of both sizes, so that a near copy just under the threshold falls out there.  Whether a
-candidate stands on enough long lists is then probed by binary search until T is reached or out of reach.
+on T - L of them, with the T of both sizes.  A sketch of 32 bytes on each list entry bounds the difference of two
+sets from below, so near copies just under the threshold mostly fall out before they are merged.  Whether a candidate stands on enough long lists is then probed by binary search until T is reached or out of reach.
 
 What keeps it linear where texts repeat:
 
@@ -42,6 +42,10 @@ LIST_CHUNK = 4096
 LEADER_ROUNDS = 2
 #: Short lists that a partner must be on, where the sets are large enough to ask for as many.
 OCCURRENCES = 3
+#: The same for the lists that hold the smaller set of a pair; fewer make them shorter, and the partner is on fewer.
+INDEXED = 1
+#: Bits of a set's sketch.
+SKETCH_BITS = 256
 
 
 _SALTS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
@@ -72,6 +76,21 @@ def least_shared(a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * (a + b) // (num + den)) - np.maximum(*longs)
 
 
+def indexed(a: int, num: int, den: int) -> int:
+    """How many of a set's rarest shingles have it on their lists for partners at least as large: L is that of T for
+    two sets of this size."""
+    t = required(a, a, num, den)
+    return a - t + min(INDEXED, t)
+
+
+def least_listed(a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """As ``least_shared``, counting only the lists that hold the smaller set, of size ``b``, among its indexed ones."""
+    b = np.asarray(b, np.int64)
+    most, t = -(-num * a // den), -(-num * (b + b) // (num + den))
+    longs = (most - min(OCCURRENCES, most), t - np.minimum(INDEXED, t))
+    return -(-num * (a + b) // (num + den)) - np.maximum(*longs)
+
+
 class Ranks:
     """Approximate counts of frequent shingles; orders a set from rare to frequent."""
 
@@ -114,14 +133,30 @@ def merge_short(lists: list[Iterable[tuple[int, int]]], least: int = 1) -> np.nd
     return np.array(rows, np.int64).reshape(-1, 3)
 
 
-def _fitting(ids: np.ndarray, sizes: np.ndarray, n: int, num: int, den: int, block: int = 256) -> Iterator[tuple[int, int]]:
-    """(id, size) of a list whose sizes fit a set of size ``n``, a block in memory at a time."""
+def _fitting(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, own: np.ndarray, n: int, equal: bool, num: int, den: int, block: int = 256) -> Iterator[tuple[int, int]]:
+    """(id, size) of a list whose sizes are below ``n`` (or ``equal``) and fit it, and whose sketches don't rule
+    out a link, a block in memory at a time."""
     for at in range(0, len(ids), block):
         m = sizes[at : at + block]
-        fits = (den * m >= num * n) & (num * m <= den * n)
+        fits = (den * m >= num * n) & ((m < n) | (equal & (m == n)))
+        fits &= apart(own, sketches[at : at + block]) <= n + m - 2 * (-(-num * (n + m) // (num + den)))
         yield from zip(ids[at : at + block][fits].tolist(), m[fits].tolist(), strict=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """One bit for each residue of the shingles' hashes: whether an odd number of them has it.
+
+    Where two sketches differ, the sets differ too, so the bits that differ number at most as many as the shingles.
+    """
+    odd = np.bincount((mix(shingles) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each sketch of ``b`` (rows of 64-bit words), a count that the difference of the sets can't be below."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 def reaches(x: np.ndarray, y: np.ndarray, need: int, block: int = 512) -> bool:
     """Whether sorted ``x`` and ``y`` share ``need`` items; probes the longer by binary search, in blocks,
     and stops when that is certain either way."""
@@ -230,10 +265,10 @@ def near_duplicates(
         sets = _sets(batch, k)
         tokens = [ranks.value.short(s, num, den) if len(s) else s for s in sets]
         marks = [[int(mix(s ^ _SALTS[r]).min().view(np.int64)) if len(s) else 0 for r in range(LEADER_ROUNDS)] for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ranks.value.rare(s) for s in sets], pa.int64()), pack(tokens), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "rare", "tokens", "marks"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ranks.value.rare(s) for s in sets], pa.int64()), pack(tokens), pa.array(marks, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "rare", "tokens", "marks", "sketch"])
 
     kept = docs.where("doc_id is not null")
-    short = arrow_map(kept, short_lists, "doc_id long, n long, rare long, tokens binary, marks array<long>").where("n > 0").join(reps, "doc_id", "left_semi")
+    short = arrow_map(kept, short_lists, "doc_id long, n long, rare long, tokens binary, marks array<long>, sketch binary").where("n > 0").join(reps, "doc_id", "left_semi")
     short = materialise(short, "jaccard-short")
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -245,14 +280,16 @@ def near_duplicates(
         """Documents with enough shingles on short lists that may hold another document."""
         every = _arrays(batch.column("tokens"))
         hits = twice.value.contains(np.concatenate([np.zeros(0, np.uint64), *every]))
-        own, at = [], 0
-        for t in every:
-            own.append(t[hits[at : at + len(t)]])
+        own, lead, at = [], [], 0
+        for t, n in zip(every, batch.column("n").to_pylist(), strict=True):
+            hit = hits[at : at + len(t)]
+            own.append(t[hit])
+            lead.append(int(hit[: indexed(n, num, den)].sum()))
             at += len(t)
         enough = pa.array([len(t) >= occurrences(least_partner(n, num, den), num, den) for t, n in zip(own, batch.column("n").to_pylist(), strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("rare"), pack(own), batch.column("marks")], names=["doc_id", "n", "rare", "tokens", "marks"]).filter(enough)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("rare"), pack(own), pa.array(lead, pa.int64()), batch.column("marks"), batch.column("sketch")], names=["doc_id", "n", "rare", "tokens", "lead", "marks", "sketch"]).filter(enough)
 
-    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, rare long, tokens binary, marks array<long>"), "jaccard-active")
+    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, rare long, tokens binary, lead long, marks array<long>, sketch binary"), "jaccard-active")
 
     labels = active.select("doc_id", F.col("doc_id").alias("label")).distinct()
     for r in range(LEADER_ROUNDS):
@@ -310,35 +347,39 @@ def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int)
         tokens = _arrays(batch.column("tokens"), np.int64)
         counts = [len(t) for t in tokens]
         repeat = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), counts))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), repeat("doc_id"), repeat("n"), repeat("label")], names=["token", "doc_id", "n", "label"])
+        listed = np.concatenate([np.arange(c) < lead for c, lead in zip(counts, batch.column("lead").to_pylist(), strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), repeat("doc_id"), repeat("n"), repeat("label"), pa.array(listed, pa.bool_()), batch.column("sketch").take(pa.array(np.repeat(np.arange(len(counts)), counts)))], names=["token", "doc_id", "n", "label", "listed", "sketch"])
 
-    postings = arrow_map(active.select("doc_id", "n", "tokens").join(labels, "doc_id"), explode, "token long, doc_id long, n long, label long")
+    postings = arrow_map(active.select("doc_id", "n", "tokens", "lead", "sketch").join(labels, "doc_id"), explode, "token long, doc_id long, n long, label long, listed boolean, sketch binary")
     postings = materialise(postings, "jaccard-postings")
-    mixed = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held")).where("low < high").select("token", "held")
+    mixed = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("listed").alias("held")).where("low < high and held > 0").select("token", "held")
     mixed = materialise(mixed, "jaccard-mixed")
     longest = mixed.agg(F.coalesce(F.max("held"), F.lit(1)).alias("n")).first()["n"]
     chunks = 1 << max(0, (longest // LIST_CHUNK).bit_length())
     own = materialise(postings.join(mixed.select("token"), "token").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")), "jaccard-lists")
-    lists = own.groupBy("token", F.col("label").alias("other"), "chunk").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("items"))
-    lists = lists.select("token", "other", "chunk", F.col("items.doc_id").alias("ids"), F.col("items.n").alias("sizes"))
-    query = own.select("token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), "label")
-    met = query.join(lists, "token").where("label < other").select("x", "x_n", "label", "other", "chunk", "ids", "sizes")
+    lists = own.where("listed").groupBy("token", F.col("label").alias("other"), "chunk").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "sketch"))).alias("items"))
+    lists = lists.select("token", "other", "chunk", F.col("items.doc_id").alias("ids"), F.col("items.n").alias("sizes"), F.col("items.sketch").alias("sketches"))
+    query = own.select("token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"), "label")
+    met = query.join(lists, "token").where("label <> other").select("x", "x_n", "x_sketch", "label", "other", "chunk", "ids", "sizes", "sketches")
 
     def search(part: pa.Table) -> pa.Table:
         x, n = part["x"][0].as_py(), part["x_n"][0].as_py()
-        need = occurrences(least_partner(n, num, den), num, den)
-        ids, sizes = part["ids"].combine_chunks(), part["sizes"].combine_chunks()
-        cuts, all_ids, all_sizes = ids.offsets.to_numpy(), ids.values.to_numpy(), sizes.values.to_numpy()
-        size_cuts = sizes.offsets.to_numpy()
+        label = part["label"][0].as_py()
+        words = SKETCH_BITS // 64
+        own_sketch = np.frombuffer(part["x_sketch"][0].as_py(), np.uint64)
+        columns = [part[c].combine_chunks() for c in ("ids", "sizes", "sketches")]
+        cuts, size_cuts, sketch_cuts = (c.offsets.to_numpy() for c in columns)
+        all_ids, all_sizes = (c.values.to_numpy() for c in columns[:2])
+        packed = columns[2].values.cast(pa.binary(SKETCH_BITS // 8))
+        all_sketches = np.frombuffer(packed.buffers()[1], np.uint64).reshape(-1, words)[packed.offset : packed.offset + len(packed)]
         found: dict[int, list[int]] = {}
         for row, other in enumerate(part["other"].to_pylist()):
             found.setdefault(other, []).append(row)
         rows = []
         for other, lists in found.items():
-            if len(lists) >= need:
-                merged = merge_short([_fitting(all_ids[cuts[r] : cuts[r + 1]], all_sizes[size_cuts[r] : size_cuts[r + 1]], n, num, den) for r in lists], need)
-                rows += [(other, int(y)) for y in np.unique(merged[merged[:, 2] >= least_shared(n, merged[:, 1], num, den), 0])]
-        return pa.table({"x": pa.array([x] * len(rows), pa.int64()), "label": pa.array([part["label"][0].as_py()] * len(rows), pa.int64()), "other": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64())})
+            merged = merge_short([_fitting(all_ids[cuts[r] : cuts[r + 1]], all_sizes[size_cuts[r] : size_cuts[r + 1]], all_sketches[sketch_cuts[r] : sketch_cuts[r + 1]], own_sketch, n, other < label, num, den) for r in lists])
+            rows += [(other, int(y)) for y in np.unique(merged[merged[:, 2] >= least_listed(n, merged[:, 1], num, den), 0])]
+        return pa.table({"x": pa.array([x] * len(rows), pa.int64()), "label": pa.array([label] * len(rows), pa.int64()), "other": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64())})
 
-    candidates = met.groupBy("x", "x_n", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
+    candidates = met.groupBy("x", "x_n", "x_sketch", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
     return materialise(candidates, "jaccard-candidates")

@@ -133,16 +133,6 @@ def merge_short(lists: list[Iterable[tuple[int, int]]], least: int = 1) -> np.nd
     return np.array(rows, np.int64).reshape(-1, 3)
 
 
-def _fitting(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, own: np.ndarray, n: int, equal: bool, num: int, den: int, block: int = 256) -> Iterator[tuple[int, int]]:
-    """(id, size) of a list whose sizes are below ``n`` (or ``equal``) and fit it, and whose sketches don't rule
-    out a link, a block in memory at a time."""
-    for at in range(0, len(ids), block):
-        m = sizes[at : at + block]
-        fits = (den * m >= num * n) & ((m < n) | (equal & (m == n)))
-        fits &= apart(own, sketches[at : at + block]) <= n + m - 2 * (-(-num * (n + m) // (num + den)))
-        yield from zip(ids[at : at + block][fits].tolist(), m[fits].tolist(), strict=True)
-
-
 def sketch(shingles: np.ndarray) -> bytes:
     """One bit for each residue of the shingles' hashes: whether an odd number of them has it.
 
@@ -361,25 +351,41 @@ def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int)
     lists = lists.select("token", "other", "chunk", F.col("items.doc_id").alias("ids"), F.col("items.n").alias("sizes"), F.col("items.sketch").alias("sketches"))
     query = own.select("token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"), "label")
     met = query.join(lists, "token").where("label <> other").select("x", "x_n", "x_sketch", "label", "other", "chunk", "ids", "sizes", "sketches")
+    words = SKETCH_BITS // 64
 
-    def search(part: pa.Table) -> pa.Table:
-        x, n = part["x"][0].as_py(), part["x_n"][0].as_py()
-        label = part["label"][0].as_py()
-        words = SKETCH_BITS // 64
-        own_sketch = np.frombuffer(part["x_sketch"][0].as_py(), np.uint64)
-        columns = [part[c].combine_chunks() for c in ("ids", "sizes", "sketches")]
+    def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """List entries that may link, before the lists are dealt to the sets that look for partners."""
+        columns = [batch.column(c) for c in ("ids", "sizes", "sketches")]
         cuts, size_cuts, sketch_cuts = (c.offsets.to_numpy() for c in columns)
         all_ids, all_sizes = (c.values.to_numpy() for c in columns[:2])
         packed = columns[2].values.cast(pa.binary(SKETCH_BITS // 8))
         all_sketches = np.frombuffer(packed.buffers()[1], np.uint64).reshape(-1, words)[packed.offset : packed.offset + len(packed)]
-        found: dict[int, list[int]] = {}
-        for row, other in enumerate(part["other"].to_pylist()):
-            found.setdefault(other, []).append(row)
+        kept, ids, sizes = [], [], []
+        own = zip(batch.column("x_n").to_pylist(), batch.column("x_sketch").to_pylist(), batch.column("label").to_pylist(), batch.column("other").to_pylist(), strict=True)
+        for r, (n, mark, label, other) in enumerate(own):
+            m = all_sizes[size_cuts[r] : size_cuts[r + 1]]
+            fits = (den * m >= num * n) & ((m < n) | ((other < label) & (m == n)))
+            fits &= apart(np.frombuffer(mark, np.uint64), all_sketches[sketch_cuts[r] : sketch_cuts[r + 1]]) <= n + m - 2 * (-(-num * (n + m) // (num + den)))
+            if fits.any():
+                kept.append(r)
+                ids.append(all_ids[cuts[r] : cuts[r + 1]][fits])
+                sizes.append(m[fits])
+        rest = batch.take(pa.array(kept, pa.int64())).select(["x", "x_n", "label", "other", "chunk"])
+        lists_of = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([*rest.columns, pa.array(ids, lists_of), pa.array(sizes, lists_of)], names=["x", "x_n", "label", "other", "chunk", "ids", "sizes"])
+
+    met = arrow_map(met, narrow, "x long, x_n long, label long, other long, chunk int, ids array<long>, sizes array<long>")
+
+    def search(part: pa.Table) -> pa.Table:
+        n, found = part["x_n"][0].as_py(), {}
+        for label, other, ids, sizes in zip(*(part[c].to_pylist() for c in ("label", "other", "ids", "sizes")), strict=True):
+            found.setdefault((label, other), []).append(zip(ids, sizes, strict=True))
         rows = []
-        for other, lists in found.items():
-            merged = merge_short([_fitting(all_ids[cuts[r] : cuts[r + 1]], all_sizes[size_cuts[r] : size_cuts[r + 1]], all_sketches[sketch_cuts[r] : sketch_cuts[r + 1]], own_sketch, n, other < label, num, den) for r in lists])
-            rows += [(other, int(y)) for y in np.unique(merged[merged[:, 2] >= least_listed(n, merged[:, 1], num, den), 0])]
-        return pa.table({"x": pa.array([x] * len(rows), pa.int64()), "label": pa.array([label] * len(rows), pa.int64()), "other": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64())})
+        for ends, lists in found.items():
+            merged = merge_short(lists)
+            rows += [(*ends, int(y)) for y in np.unique(merged[merged[:, 2] >= least_listed(n, merged[:, 1], num, den), 0])]
+        x = pa.array([part["x"][0].as_py()] * len(rows), pa.int64())
+        return pa.table({"x": x, **{c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("label", "other", "y"))}})
 
-    candidates = met.groupBy("x", "x_n", "x_sketch", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
+    candidates = met.groupBy("x", "x_n", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
     return materialise(candidates, "jaccard-candidates")

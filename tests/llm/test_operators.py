@@ -143,6 +143,33 @@ def test_chains():
             assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
 
 
+def brute_scores(x, y):
+    """Best score of a chain that ends in each match, every match within reach tried as predecessor."""
+    reach, score = substring.MAX_GAP + substring.K, [0.0] * len(x)
+    for i in sorted(range(len(x)), key=lambda i: x[i]):
+        near = [score[j] - substring.GAP_COST * (x[i] - x[j] + y[i] - y[j]) for j in range(len(x)) if 0 < x[i] - x[j] <= reach and 0 < y[i] - y[j] <= reach]
+        score[i] = substring.K + max([0.0, *near])
+    return score
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(3)
+    for n, wide in [(k, w) for k in (2, 8, 30, 120) for w in (20, 60, 200, 600)]:
+        x, y = zip(*((a, max(0, a + rng.randrange(-8, 9)) if rng.random() < 0.5 else rng.randrange(wide)) for a in (rng.randrange(wide) for _ in range(n))), strict=True)
+        ahead = list(range(-5 * n - 100, -100, 5))  # a shared passage out of reach before them
+        found = substring.chains([*ahead, *x], [*ahead, *y])
+        best = [i - n for i in next(c for c in found if c[0] >= n)]
+        got = substring.K * len(best) - substring.GAP_COST * (x[best[-1]] - x[best[0]] + y[best[-1]] - y[best[0]])
+        assert got == max(brute_scores(x, y))
+        assert all(0 < c[b] - c[a] <= substring.MAX_GAP + substring.K for a, b in zip(best, best[1:], strict=False) for c in (x, y))
+
+
+def test_chain_after_a_long_passage():
+    long, later = list(range(0, 400, 5)), [500 + s for s in (0, 5, 10, 15, 20, 38, 43, 48, 66, 71)]
+    found = substring.chains(long + later, long + later)
+    assert sorted(map(len, found)) == [10, 80]
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 64))

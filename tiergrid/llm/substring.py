@@ -4,12 +4,15 @@ Seeds are minimizers of word k-mers: any stretch of K + W - 1 words that two doc
 Two Bloom filters drop the seeds that occur once before they shuffle, and another keeps copies of an earlier text out.  Each other occurrence of
 a seed meets only its first one (least document, least place), so a passage that stands in a third of all
 documents costs a row for each occurrence, never a pair of them.  For each document the meetings with
-an earlier document are chained in order with gap costs, best predecessors coming from a Fenwick tree of prefix maxima;
+an earlier document are chained in order with gap costs, best predecessors coming from a tree of maxima over those in reach;
 chains are aligned on word fingerprints kept around the seeds, and aligned pieces that touch become passages.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,44 +47,70 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kmers[places], places, prints
 
 
-class Fenwick:
-    """Prefix maxima over places 0 to n - 1, with the item that holds each."""
+class WindowTree:
+    """Greatest values over ranges of places 0 to n - 1, with the item that holds each; the oldest items can be taken out again."""
 
     def __init__(self, n: int) -> None:
-        self.best, self.item = [float("-inf")] * (n + 1), [-1] * (n + 1)
+        self.n, self.best = n, [(float("-inf"), -1)] * (2 * n)
+        self.queues: list[deque[tuple[float, int]]] = [deque() for _ in range(n)]
+
+    def _set(self, place: int) -> None:
+        queue, i = self.queues[place], place + self.n
+        top = queue[0] if queue else (float("-inf"), -1)
+        while i and self.best[i] != top:
+            self.best[i] = top
+            i >>= 1
+            if i:
+                top = max(self.best[2 * i], self.best[2 * i + 1])
 
     def put(self, place: int, value: float, item: int) -> None:
-        i = place + 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i], self.item[i] = value, item
-            i += i & -i
-
-    def below(self, place: int) -> tuple[float, int]:
-        """The greatest value at places under ``place``."""
-        i, value, item = place, float("-inf"), -1
-        while i > 0:
-            if self.best[i] > value:
-                value, item = self.best[i], self.item[i]
-            i -= i & -i
-        return value, item
+        """Items come in the order in which they go; an item under a later one of its place never counts again."""
+        queue = self.queues[place]
+        while queue and queue[-1][0] <= value:
+            queue.pop()
+        queue.append((value, item))
+        self._set(place)
+
+    def drop(self, place: int, item: int) -> None:
+        queue = self.queues[place]
+        if queue and queue[0][1] == item:
+            queue.popleft()
+            self._set(place)
+
+    def most(self, low: int, high: int) -> tuple[float, int]:
+        """The greatest value at places from ``low`` to under ``high``."""
+        found, low, high = (float("-inf"), -1), low + self.n, high + self.n
+        while low < high:
+            if low & 1:
+                found = max(found, self.best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                found = max(found, self.best[high])
+            low, high = low >> 1, high >> 1
+        return found
 
 
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
     """Disjoint chains of matches (x, y) that rise in both, best first.
 
-    A match scores K, less GAP_COST for each word that x and y move on from its predecessor's; the
-    predecessor comes from the Fenwick tree.  A chain is cut where it jumps over more than MAX_GAP words.
+    A match scores K, less GAP_COST for each word that x and y move on from its predecessor's, which is
+    the best of those that lie at most MAX_GAP words before it in both; they alone are in the tree's reach.
     """
-    n = len(x)
+    n, reach = len(x), MAX_GAP + K
     order = sorted(range(n), key=lambda i: (x[i], -y[i]))
-    ranks = {v: r for r, v in enumerate(sorted(set(y)))}
-    tree = Fenwick(len(ranks))
+    places = sorted(set(y))
+    ranks = {v: r for r, v in enumerate(places)}
+    tree = WindowTree(len(ranks))
     score, before = [float(K)] * n, [-1] * n
+    old = 0
     for i in order:
+        while x[i] - x[order[old]] > reach:
+            tree.drop(ranks[y[order[old]]], order[old])
+            old += 1
         far = GAP_COST * (x[i] + y[i])
-        value, j = tree.below(ranks[y[i]])
-        if j >= 0 and value - far > 0 and x[i] - x[j] <= MAX_GAP + K and y[i] - y[j] <= MAX_GAP + K and x[i] > x[j]:
+        value, j = tree.most(bisect_left(places, y[i] - reach), ranks[y[i]])
+        if j >= 0 and value - far > 0:
             score[i], before[i] = K + value - far, j
         tree.put(ranks[y[i]], score[i] + far, i)
     used, out = [False] * n, []

@@ -14,32 +14,32 @@ from tiergrid.llm.common import materialise
 from tiergrid.llm.queries import table, tokenizer_path, training_labels
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     voter = quality.fit(docs, training_labels(table(spark, sf_dir, "labels")))
-    rejected = quality.score_quality(docs, voter).where("predicted = 0").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return quality.score_quality(docs, voter, carry=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a document left without any text but blanks goes too."""
-    kept = line_dedup.dedup_lines(docs).select("doc_id", "text")
-    out = docs.drop("text").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+    out = line_dedup.dedup_lines(docs, carry=("lang", "source")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.where(F.col("text").rlike(WORD)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
-    kept = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group stays, that of the smallest id; rows with a null id or without words are in no group."""
+    gone = jaccard.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("gone")) & F.col("text").rlike(WORD), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "mix-rows")  # ids may be null or repeated
+    taken = mixing.mix_sources(rows, carry=("row",)).where("copies > 0").select("row", "copies")
+    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import duckdb
@@ -420,6 +422,50 @@ def test_pipeline(spark):
     assert p.tokenize(spark, mixed, SF).count() == mixed.count()
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    own = spark.read.parquet(f"{SF}/documents.parquet").select(*p.COLUMNS)
+    rows = [tuple(r) for r in own.collect()]
+    voter = quality.fit(own, queries.training_labels(queries.table(spark, SF, "labels")))
+    good = lambda found: [r for r, s in zip(found, voter.scores([(r[1] or "").encode() for r in found]), strict=True) if s >= quality.THRESHOLD]
+    bad = next(r for r in rows if r not in good(rows))
+    twice = next(r for r in good(rows) if r[0] is not None and len(r[1].split()) > 30)
+    rows += [(None, *r[1:]) for r in (bad, twice, twice, good(rows)[-1])] + [twice, twice, (twice[0], "another text of its own, in a repeated row", *twice[2:])]
+    df = spark.createDataFrame(rows, own.schema)
+    key = lambda r: tuple(map(repr, r))
+    same = lambda got, want: Counter(map(key, got)) == Counter(map(key, want))
+
+    judged = p.materialise(p.keep_quality(spark, df, SF), "test-null-quality")
+    voter = quality.fit(df, queries.training_labels(queries.table(spark, SF, "labels")))
+    rows = good(rows)
+    assert same(judged.collect(), rows)
+
+    strip = lambda s: s.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    holder: dict[str, int] = {}
+    for r in rows:
+        for line in (r[1] or "").split("\n") if r[0] is not None else ():
+            holder[strip(line)] = min(r[0], holder.get(strip(line), r[0]))
+    cut = [(r, "\n".join(x for x in (r[1] or "").split("\n") if r[0] is None or len(strip(x)) < 10 or holder[strip(x)] == r[0])) for r in rows]
+    rows = [(r[0], t, r[2], r[3], len(t)) for r, t in cut if t.strip(" \t\n\v\f\r")]
+    cleaned = p.materialise(p.drop_repeated_lines(spark, judged, SF), "test-null-lines")
+    assert same(cleaned.collect(), rows)
+
+    component = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(cleaned).collect()}
+    rows = [r for r in rows if r[0] is None or component[r[0]] == r[0]]
+    kept = p.materialise(p.drop_near_duplicates(spark, cleaned, SF), "test-null-near")
+    assert same(kept.collect(), rows)
+
+    copies = Counter()
+    for r in mixing.mix_sources(kept).collect():
+        copies[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    mixed = [tuple(r) for r in p.mix(spark, kept, SF).collect()]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r[0], r[3], size(r[1])) for r in mixed) == +copies
+    held, taken = Counter(map(key, rows)), Counter(map(key, mixed))
+    assert all(n <= mixing.MAX_COPIES * held[k] for k, n in taken.items())
+
+
 def test_line_dedup_equals_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

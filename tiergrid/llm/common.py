@@ -86,6 +86,11 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def fields(df: DataFrame, names: list[str] | tuple[str, ...]) -> str:
+    """These columns of ``df`` as the part of a schema that follows others."""
+    return "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in names)
+
+
 def pack(arrays: list[np.ndarray]) -> pa.Array:
     """Numpy arrays as one binary column."""
     return pa.array([a.tobytes() for a in arrays], pa.binary())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import arrow_map, as_bytes, materialise, small_batches
+from .common import arrow_map, as_bytes, fields, materialise, small_batches
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -44,18 +44,18 @@ def drop_lines(text: bytes, digests: list[bytes] | None, least: int) -> tuple[in
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_bits: int = bloom.MAX_BITS) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_bits: int = bloom.MAX_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines that a document with a smaller id also holds.
 
     Returns one row for each input row: ``doc_id``, ``n_lines``, ``n_dropped``, ``text`` (the kept lines joined
     by a line feed).  A null or empty text is one empty line.  Repeats inside one document, or in rows
     that share an id, count as one document and stay.  Rows with a null id take no part: their
     lines aren't counted and all stay.  Lines under ``min_chars`` code points always stay.  Other columns
-    are ignored, whatever their names.
+    are ignored, whatever their names, save those that ``carry`` names, which come back with their row.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [xxhash.xxh3_64_intdigest(k) for t in as_bytes(batch.column("text")) for k in document_keys(t, min_chars)]
@@ -75,7 +75,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = materialise(arrow_map(known, suspects, f"doc_id {kind}, key binary"), "lines-suspects")
+    seen = materialise(arrow_map(known.select("doc_id", "text"), suspects, f"doc_id {kind}, key binary"), "lines-suspects")
     repeated = seen.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("key", "keeper")
     lost = seen.join(repeated, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
 
@@ -83,8 +83,8 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = [drop_lines(t, gone, min_chars) for t, gone in zip(as_bytes(batch.column("text")), batch.column("lost").to_pylist(), strict=True)]
         total, dropped, kept = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_lines", "n_dropped", "text"],
+            [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(c) for c in carry)],
+            names=["doc_id", "n_lines", "n_dropped", "text", *carry],
         )
 
-    return arrow_map(docs.join(lost, "doc_id", "left"), rebuild, f"doc_id {kind}, n_lines long, n_dropped long, text string")
+    return arrow_map(docs.join(lost, "doc_id", "left"), rebuild, f"doc_id {kind}, n_lines long, n_dropped long, text string{fields(docs, carry)}")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, small_batches
+from .common import arrow_map, fields, materialise, small_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -113,6 +113,7 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     max_copies: int = MAX_COPIES,
     seed: int = 0,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Sample documents so that each source takes its target share of all words.
 
@@ -123,18 +124,18 @@ def mix_sources(
     A null text has 0 words; documents without words take 0 copies.  The null source is a source of its
     own, after all others.  Rows that share an id are separate documents; equal rows draw
     the same rank and are told apart by their position among equals.  Reruns agree.  Clashing extra columns are
-    ignored.  An empty table gives an empty result.
+    ignored, save those that ``carry`` names, which come back with their row.  An empty table gives an empty result.
     """
     spark = documents.sparkSession
     small_batches(spark)
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(1e-9))
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), weight.alias("weight"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), weight.alias("weight"), F.col(text_col).alias("text"), *carry)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "source", "weight")] + [pa.array(word_counts(batch.column("text")))], names=["doc_id", "source", "weight", "size"])
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "source", "weight")] + [pa.array(word_counts(batch.column("text"))), *(batch.column(c) for c in carry)], names=["doc_id", "source", "weight", "size", *carry])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sizes = materialise(arrow_map(docs, count, f"doc_id {kind}, source string, weight double, size long"), "mix-sizes")
+    sizes = materialise(arrow_map(docs, count, f"doc_id {kind}, source string, weight double, size long{fields(docs, carry)}"), "mix-sizes")
     sources = source_targets(sizes, weights, max_copies)
     due = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     due = due.join(F.broadcast(_scales(due, max_copies)), F.col("source").eqNullSafe(F.col("scale_source"))).drop("scale_source")
@@ -160,16 +161,16 @@ def mix_sources(
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(batches), ignore_index=True)
-        part = part.sort_values(["rank", "doc_id", "size"], kind="stable", ignore_index=True)
+        part = part.sort_values(["rank", "doc_id", "size", *carry], kind="stable", ignore_index=True)
         yield part.assign(extra=fill_gap(part["size"].to_numpy(), float(part["left"].iloc[0])).astype("int64"))
 
-    columns = ["doc_id", "source", "size", "source_size", "target", "certain"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "certain", *carry]
     walked = placed.where(at_edge).select(*columns, "rank", "left")
     walked = walked.groupBy("source").applyInPandas(lambda part: next(fill(iter([part]))), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in walked.schema) + ", extra long")
     rest = placed.where(~at_edge | at_edge.isNull()).select(*columns, F.when(inside, 1).otherwise(0).cast("long").alias("extra"))
     both = rest.unionByName(walked.select(*columns, "extra"))
     copies = F.col("certain") + F.col("extra")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
 
 
 def _scales(due: DataFrame, max_copies: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, arrow_map, small_batches
+from .common import as_bytes, arrow_map, fields, small_batches
 
 #: Labelled texts that the classifier is fitted on; a documented bound on what is broadcast.
 MAX_LABELLED = 4096
@@ -98,21 +98,22 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return Voter(weighed, np.array([r[1] for r in found]))
 
 
-def score_quality(documents: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(documents: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score whole texts.
 
     Returns one row for each input row: ``doc_id``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``
     (1 from ``threshold`` on).  A text that shares no term with any labelled one, such as an empty or null
     text, scores the share of label 1; without any labelled text every score is 1.  Ids pass through unread,
-    null or repeated; other columns are ignored.
+    null or repeated; other columns are ignored, save those that ``carry`` names, which come back with their row
+    (the text as ``text``).
     """
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(voter)
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(c for c in carry if c != "text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = shared.value.scores(as_bytes(batch.column("text")))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(batch.column(c) for c in carry)], names=["doc_id", "score", "predicted", *carry])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs, run, f"doc_id {kind}, score double, predicted int")
+    return arrow_map(docs, run, f"doc_id {kind}, score double, predicted int{fields(docs, carry)}")

@@ -406,6 +406,20 @@ def test_pii(docs, texts):
     assert len(rows) == len(texts) + 1
 
 
+def test_pii_spans_are_whole():
+    field, key = pii.train(), "e7fbfec6a80404dc513b99d3fdbf2a6e53400638"
+    for secret in (key, key + key[:24]):
+        for ahead in ("", "the 7 big ", "see @ the place ", "1 2 3 4 5 6 7 8 9 of 10 things "):
+            text = f'{ahead}token = "{secret}" end'
+            start = text.index(secret)
+            assert ("secret", start, start + len(secret)) in {(pii.KINDS[k], s, e) for k, s, e in pii.added_spans(text, pii.base_spans(text), field)}
+    rng = random.Random(4)
+    for _ in range(60):  # what is left out of a line changes no result
+        text = " ".join(rng.choice(["word", "of", "call", "token", "7", "@", "12-5-1999", key, "(235) 555-2058", "a.b,c", *["plain"] * 12]) for _ in range(90))
+        tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+        assert pii.added_spans(text, [], field) == field.best(text, tokens)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

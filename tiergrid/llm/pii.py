@@ -1,6 +1,6 @@
 """Personal data: pattern matches, and further spans by a semi-Markov conditional random field.
 
-The patterns give the base spans.  Where digits or an @ stand outside them, the text around is cut into tokens, and the
+The patterns give the base spans.  Where digits or an @ stand outside them, the line around is cut into tokens, and the
 field chooses segment boundaries and kinds together: every candidate segment of at most MAX_TOKENS tokens is scored by
 features of the whole span, and dynamic programming finds the best segmentation.  The field is trained here, by
 its conditional likelihood, on sentences made up by rule with spans in forms that the patterns miss.
@@ -27,9 +27,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match from inside a run
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Most tokens of a segment, characters of context on either side of a trigger, log-odds that an added span needs.
+#: Most tokens of a segment, tokens before it that may cue it, digits of a run too long for any kind, log-odds that an added span needs.
 MAX_TOKENS = 14
-CONTEXT = 48
+CUE_TOKENS = 3
+MAX_RUN = 96
 MARGIN = 2.0
 
 TRIGGER = re.compile(r"[0-9@]+")
@@ -124,6 +125,12 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     return f
 
 
+def ending(text: str, tokens: list[tuple[int, int]], j: int) -> list[tuple[int, np.ndarray]]:
+    """The candidate segments that end with token j: (first token, features)."""
+    found = ((i, segment_features(text, tokens, i, j)) for i in range(max(0, j - MAX_TOKENS + 1), j + 1))
+    return [(i, f) for i, f in found if f is not None]
+
+
 class Field:
     """Weights: a row of FEATURES for each kind, the cost of a plain token, and the step between kinds."""
 
@@ -133,36 +140,29 @@ class Field:
     def lattice(self, text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, np.ndarray]]]]:
         """Tokens, and for each token the candidate segments ending there: (first token, features)."""
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in tokens]
-        for j in range(len(tokens)):
-            for i in range(max(0, j - MAX_TOKENS + 1), j + 1):
-                f = segment_features(text, tokens, i, j)
-                if f is not None:
-                    ends[j].append((i, f))
-        return tokens, ends
-
-    def best(self, text: str) -> list[Span]:
-        """The best segmentation's entities whose gain over plain tokens is at least MARGIN."""
-        tokens, ends = self.lattice(text)
+        return tokens, [ending(text, tokens, j) for j in range(len(tokens))]
+
+    def best(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
+        """The best segmentation's entities whose gain over plain tokens is at least MARGIN; ``tokens`` are a run of the text's."""
         n, kinds = len(tokens), len(KINDS)
         score = np.full((n + 1, kinds + 1), -np.inf)
         score[0, kinds] = 0.0
-        back: list[list[tuple[int, int, float]]] = [[(0, 0, 0.0)] * (kinds + 1) for _ in range(n + 1)]
+        back = np.zeros((n + 1, kinds + 1), [("from", np.int32), ("kind", np.int8), ("gain", np.float64)])
         for j in range(n):
             options = score[j] + self.step[:, kinds]
             k = int(options.argmax())
-            score[j + 1, kinds], back[j + 1][kinds] = options[k], (j, k, 0.0)
-            for i, f in ends[j]:
+            score[j + 1, kinds], back[j + 1, kinds] = options[k], (j, k, 0.0)
+            for i, f in ending(text, tokens, j):
                 gain = f @ self.weights
                 reach = score[i][:, None] + self.step[:, :kinds]
                 k = reach.argmax(axis=0)
                 for y in range(kinds):
                     total = reach[k[y], y] + gain[y]
                     if total > score[j + 1, y]:
-                        score[j + 1, y], back[j + 1][y] = total, (i, int(k[y]), float(gain[y]))
+                        score[j + 1, y], back[j + 1, y] = total, (i, int(k[y]), float(gain[y]))
         out, at, y = [], n, int(score[n].argmax())
         while at > 0:
-            i, k, gain = back[at][y]
+            i, k, gain = back[at, y].item()
             if y < kinds and gain >= MARGIN:
                 out.append((y, tokens[i][0], tokens[at - 1][1]))
             at, y = i, k
@@ -249,28 +249,44 @@ def train(examples: int = 240, rounds: int = 3, seed: int = 7) -> Field:
     return field
 
 
+def _hot(token: str) -> bool:
+    """Whether a token holds a trigger; a run of digits too long for any kind is none."""
+    return any(len(run) <= MAX_RUN for run in TRIGGER.findall(token))
+
+
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
-    """Spans that the field adds around triggers outside the base spans; they overlap none of those."""
+    """Spans that the field adds around triggers outside the base spans; they overlap none of those.
+
+    A line's text between base spans is decoded as a whole.  Tokens that no segment with a trigger reaches
+    (MAX_TOKENS - 1 away, and the cues before) are left out, which changes no result.
+    """
     taken = sorted((s, e) for _, s, e in base)
     out: list[Span] = []
     done, k = 0, 0
     for m in TRIGGER.finditer(text):
         at = m.start()
         while k < len(taken) and taken[k][1] <= at:
+            done = max(done, taken[k][1])
             k += 1
         if at < done or (k < len(taken) and taken[k][0] <= at):
             continue
-        low = max([done, at - CONTEXT, *(e for _, e in taken[max(0, k - 4) : k])])
-        high = min(len(text), m.end() + CONTEXT, taken[k][0] if k < len(taken) else len(text))
-        low = max(low, text.rfind("\n", low, at) + 1)
+        low = max(done, text.rfind("\n", done, at) + 1)
+        high = taken[k][0] if k < len(taken) else len(text)
         line = text.find("\n", at, high)
         high = line if line >= 0 else high
-        if high - low > 4 * CONTEXT:  # a run of digits too long for any kind
-            done = m.end()
-            continue
-        found = field.best(text[low:high])
-        out += [(y, low + s, low + e) for y, s, e in found]
-        done = max(high - CONTEXT // 2, m.end(), *(low + e for _, _, e in found)) if found else max(high - CONTEXT // 2, m.end())
+        part = text[low:high]
+        tokens = [t.span() for t in TOKEN.finditer(part)]
+        runs: list[list[int]] = []
+        for t, (s, e) in enumerate(tokens):
+            if _hot(part[s:e]):
+                first, end = max(0, t - MAX_TOKENS + 1 - CUE_TOKENS), t + MAX_TOKENS
+                if runs and first <= runs[-1][1]:
+                    runs[-1][1] = end
+                else:
+                    runs.append([first, end])
+        for first, end in runs:
+            out += [(y, low + s, low + e) for y, s, e in field.best(part, tokens[first:end])]
+        done = high
     return out
 
 

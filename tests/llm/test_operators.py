@@ -187,6 +187,12 @@ def test_top_k_is_exact(spark):
     assert hamming.top_k(df.where(F.lit(False))).count() == 0
 
 
+def test_codes_take_no_longer_vectors():
+    assert hamming.code_of(np.ones(64)) == 2**64 - 1
+    with pytest.raises(ValueError, match="65 components"):
+        hamming.code_of(np.ones(65))
+
+
 def test_mixing(spark, docs, texts, empty):
     rows = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs).collect()

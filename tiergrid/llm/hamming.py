@@ -30,10 +30,12 @@ _RINGS = [np.array([sum(1 << b for b in bits) for bits in combinations(range(SEG
 
 
 def code_of(vector: np.ndarray | None) -> int:
-    """The signs of the first 64 components, the first in the lowest bit; missing and NaN count as not positive."""
+    """The signs of at most 64 components, the first in the lowest bit; missing and NaN count as not positive."""
     if vector is None:
         return 0
-    v = np.asarray(vector, np.float64)[:BITS]
+    v = np.asarray(vector, np.float64)
+    if len(v) > BITS:
+        raise ValueError(f"a vector of {len(v)} components; codes hold {BITS}")
     return int((np.nan_to_num(v) > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(len(v), dtype=np.uint64))) if len(v) else 0
 
 

@@ -55,7 +55,8 @@ STAGES = [
     ("bpe_codec", tokenize),
 ]
 
-#: SQL can't express the classifier, the order sample or the encoding; tests hold the stages against brute force.
+#: SQL can't express the classifier, the order sample or the encoding.  Tests hold quality's rows against the voter and the
+#: line dedup's against brute force; near duplicates and the mix against their operators alone, the tokens by count.
 ORACLE_SQL = None
 
 

@@ -20,6 +20,8 @@ from .common import materialise
 
 #: Segments of the hash space, a power of two; also the most tasks that fill filters.
 SEGMENTS = 64
+#: Hashes that a task should fill filters with at least.
+LEAST_HASHES = 1 << 18
 #: Bound of the broadcast filter: 2**28 bits are 32 MB.
 MAX_BITS = 1 << 28
 BITS_PER_HASH = 12
@@ -124,5 +126,5 @@ def twice_filter(packed: DataFrame, name: str, max_bits: int = MAX_BITS, once: b
                 names=["seg", "bits"],
             )
 
-    rows = packed.repartition(SEGMENTS, "seg").select("seg", "once", "twice").mapInArrow(fill, "seg int, bits binary").collect()
+    rows = packed.repartition(max(1, min(SEGMENTS, total // LEAST_HASHES)), "seg").select("seg", "once", "twice").mapInArrow(fill, "seg int, bits binary").collect()
     return TwiceFilter(bits, {r["seg"]: bytes(r["bits"]) for r in rows})

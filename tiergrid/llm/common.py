@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,10 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents in one Arrow batch; texts may be long, and a worker holds a batch at a time.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: A key with more than one in so many rows is dealt to several tasks; so there are fewer such keys than this.
+HOT_SHARE = 256
 
 _folders: dict[str, str] = {}
 
@@ -21,13 +25,15 @@ _folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary one made and set.
+    Only where the session names none, on a local master (tests on one machine), is a temporary one made and set.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _folders:
         base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tiergrid-")
             sc.setCheckpointDir(base)
         _folders[app] = f"{base.rstrip('/')}/tiergrid-{uuid.uuid4().hex[:12]}"
@@ -56,6 +62,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", weigh: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which holds a key once at most, on one column.
+
+    Keys with more than one in HOT_SHARE rows of ``big`` (or of ``weigh``, a cheaper table with the same keys) are dealt
+    to as many tasks as they have such shares, and their rows of ``small`` go to each of these; so no key, whatever its rows, makes
+    a task longer than others.  Rows are dealt by their own hash, so a task that runs again deals them alike.  The hot keys, fewer than HOT_SHARE, and their counts come to the driver.
+    """
+    counts = (big if weigh is None else weigh).groupBy(key).count()
+    totals = counts.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    share = (totals["rows"] or 0) / HOT_SHARE
+    if not totals["rows"] or totals["most"] <= max(share, 1):
+        return big.join(small, key, how)
+    hot = [(r[key], max(2, math.ceil(r["count"] / share))) for r in counts.where(F.col("count") > max(share, 1)).collect() if r[key] is not None]
+    if not hot:
+        return big.join(small, key, how)
+    parts = big.sparkSession.createDataFrame(hot, f"{key} {big.schema[key].dataType.simpleString()}, spread_n int")
+    left = big.join(F.broadcast(parts), key, "left").withColumn("spread_at", F.when(F.col("spread_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("spread_n")).cast("int"))).drop("spread_n")
+    right = small.join(F.broadcast(parts), key, "left").withColumn("spread_at", F.explode(F.sequence(F.lit(0), F.coalesce("spread_n", F.lit(1)) - 1))).drop("spread_n")
+    return left.join(right, [key, "spread_at"], how).drop("spread_at")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small in rows and bytes, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

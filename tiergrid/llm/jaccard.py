@@ -3,23 +3,27 @@
 Documents become sets of word shingles.  Two sets link when ``den * |x & y| >= num * |x | y|``, which asks for
 T common shingles, T following from the sizes.  DivideSkip parts the inverted lists of a set's
 shingles into long and short ones: the L = T - OCCURRENCES most frequent shingles have the long lists, T being that of
-the smallest partner, the others the short ones.  Only short lists are stored, and heap-merged; a partner must occur
-on T - L of them, with the T of both sizes.  A sketch of 32 bytes on each list entry bounds the difference of two
-sets from below, so near copies just under the threshold mostly fall out before they are merged.  Whether a candidate stands on enough long lists is then probed by binary search until T is reached or out of reach.
+the smallest partner, the others the short ones.  Short lists are stored, and heap-merged; a partner must occur
+on T - L of them, with the T of both sizes.  Whether a candidate stands on enough of the long lists is probed by binary
+search in its own sorted set, which is those lists read the other way round, until T is reached or out of reach.
 
-What keeps it linear where texts repeat:
+Texts are read and hashed once, into packed sets.  What keeps the rest linear where texts repeat:
 
 * equal sets are one class, found by a digest; copies never meet;
 * a pair of Bloom filters drops the short-list shingles that only one class holds, before any shuffle;
 * near copies are first tied to one leader for each least hash, the document with the fewest rare shingles, as
-  the text from which copies were edited has (two rounds, each link verified); later
-  only pairs under different leaders are sought, for only they can join components.  Groups of
-  near copies of any size so cost a row a document, and no pair that could join components is lost.
+  the text from which copies were edited has (each link verified); later only pairs under different leaders
+  are sought, for only they can join components.  A group of near copies so costs a row a document;
+* lists are kept by (shingle, chunk), and sets that look for partners by (shingle, block).  Of two sets under
+  different leaders one at least isn't under the leader that most of a list has, so only the others look.  A block meets
+  a chunk in one row, and a sketch of 32 bytes, an exact lower bound of the difference of two sets, picks
+  the pairs that leave the task.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,17 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_bytes, arrow_map, materialise, pack, small_batches
+from .common import as_bytes, arrow_map, materialise, pack, small_batches, spread_join
 from .graph import components
 from .shingles import mix, shingle_sets
 
-#: Shingles whose counts order the lists; the most frequent ones, a bounded table of 12 bytes each.
-MAX_RANKED = 1 << 19
-#: Shingles a task holds while it counts, and the least count in them that it reports.
-COUNT_BLOCK, COUNT_LEAST = 1 << 22, 3
-#: Documents that a chunk of an inverted list holds in the mean.
-LIST_CHUNK = 4096
-LEADER_ROUNDS = 2
+#: Counters of shingles, by the first bits of their hashes; each task holds one table of 4 bytes a counter.
+COUNTERS, COUNTER_ROWS = 1 << 20, 64
+#: Documents in a chunk of an inverted list, and in a block of sets that look for partners, in the mean.
+LIST_CHUNK, QUERY_BLOCK = 2048, 512
+#: Pairs that a task compares at once.
+PAIRS_AT_ONCE = 1 << 19
+#: Most rounds of ties, and the share of leaders that a round must tie for another to follow.
+LEADER_ROUNDS, LEAST_TIED = 4, 0.01
 #: Short lists that a partner must be on, where the sets are large enough to ask for as many.
 OCCURRENCES = 3
 #: The same for the lists that hold the smaller set of a pair; fewer make them shorter, and the partner is on fewer.
@@ -47,8 +52,7 @@ INDEXED = 1
 #: Bits of a set's sketch.
 SKETCH_BITS = 256
 
-
-_SALTS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
+_SALTS = np.random.default_rng(20240301).integers(1, 1 << 63, LEADER_ROUNDS, np.uint64)
 
 
 def required(a: int, b: int, num: int, den: int) -> int:
@@ -92,24 +96,13 @@ def least_listed(a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 class Ranks:
-    """Approximate counts of frequent shingles; orders a set from rare to frequent."""
+    """Counts of shingles by the first bits of their hashes; orders a set from rare to frequent."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        self.hashes, self.counts = hashes, counts
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
 
     def order(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return shingles
-        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-        count = np.where(self.hashes[at] == shingles, self.counts[at], 0)
-        return shingles[np.argsort(count, kind="stable")] if count.any() else shingles
-
-    def rare(self, shingles: np.ndarray) -> int:
-        """How many of the shingles have no count."""
-        if not len(self.hashes):
-            return len(shingles)
-        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-        return int((self.hashes[at] != shingles).sum())
+        return shingles[np.argsort(self.counts[counter(shingles)], kind="stable")]
 
     def short(self, shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         """The shingles of the short lists: all but the L most frequent, T for the smallest partner."""
@@ -117,9 +110,13 @@ class Ranks:
         return self.order(shingles)[: n - least_partner(n, num, den) + occurrences(n, num, den)]
 
 
-def merge_short(lists: list[Iterable[tuple[int, int]]], least: int = 1) -> np.ndarray:
-    """(id, size, how many of the sorted lists hold them) for what stands on ``least`` of them, by a heap merge."""
-    rows: list[tuple[int, int, int]] = []
+def counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def merge_short(lists: list[Iterable[tuple[int, ...]]], least: int = 1) -> np.ndarray:
+    """Each entry (id, size, ...) and how many of the sorted lists hold it, if ``least`` of them do, by a heap merge."""
+    rows: list[tuple[int, ...]] = []
     last, count = None, 0
     for x in heapq.merge(*lists):
         if x == last:
@@ -130,7 +127,8 @@ def merge_short(lists: list[Iterable[tuple[int, int]]], least: int = 1) -> np.nd
         last, count = x, 1
     if count >= least:
         rows.append((*last, count))
-    return np.array(rows, np.int64).reshape(-1, 3)
+    width = len(rows[0]) if rows else 5
+    return np.array(rows, np.int64).reshape(-1, width)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -172,24 +170,22 @@ def _arrays(column: pa.Array, dtype: type = np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, max_bits: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
     """The pairs (x, y, and what else they hold) that link.
 
-    Sets are made anew from the texts of those documents alone that stand in a pair, which a Bloom filter of
-    their ids picks while the texts are read.
+    Only the sets of documents that stand in a pair shuffle; a Bloom filter of their ids picks them.
     """
     other = pairs.columns
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, "doc_id", "jaccard-wanted", max_bits))
+    wanted = pairs.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, "doc_id", "jaccard-wanted", max_bits))
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = pa.array(wanted.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_())
-        batch = batch.filter(keep)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pack(_sets(batch, k))], names=["doc_id", "shingles"])
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(wanted.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
 
-    sets = arrow_map(docs.where("doc_id is not null"), make, "doc_id long, shingles binary")
-    sets = materialise(sets, "jaccard-wanted-sets")
-    full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_set")), "y")
+    sets = materialise(arrow_map(sets.select("doc_id", "shingles"), pick, "doc_id long, shingles binary"), "jaccard-wanted-sets")
+    wanted.unpersist()
+    full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x")
+    full = spread_join(full, sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_set")), "y", weigh=pairs)
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = [reaches(a, b, required(len(a), len(b), num, den)) for a, b in zip(_arrays(batch.column("x_set")), _arrays(batch.column("y_set")), strict=True)]
@@ -205,7 +201,6 @@ def near_duplicates(
     k: int = 5,
     num: int = 80,
     den: int = 100,
-    max_ranked: int = MAX_RANKED,
     max_bits: int = bloom.MAX_BITS,
 ) -> DataFrame:
     """Components of documents that link by the Jaccard similarity of their word shingles.
@@ -222,116 +217,149 @@ def near_duplicates(
     small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def report() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            tokens, counts = tokens[counts >= COUNT_LEAST], counts[counts >= COUNT_LEAST]
-            none = pa.nulls(len(tokens))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], names=["doc_id", "n", "sig", "token", "c"])
+    first = materialise(docs.mapInArrow(_measure(k), "doc_id long, n long, sig binary, shingles binary, slot int, counts binary"), "jaccard-sets")
+    rows = first.where("sig is not null")
+    sets = rows.where("n > 0 and doc_id is not null")
+    classes = materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    ranks = spark.sparkContext.broadcast(_ranks(first))
+    first_ids = spark.sparkContext.broadcast(bloom.member_filter(classes, "rep", "jaccard-reps", max_bits))
 
-        for batch in batches:
-            sets = _sets(batch, k)
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())],
-                names=["doc_id", "n", "sig", "token", "c"],
-            )
-            held += sets
-            size += sum(map(len, sets))
-            if size >= COUNT_BLOCK:
-                yield report()
-                held, size = [], 0
-        yield report()
-
-    first = materialise(docs.mapInArrow(measure, "doc_id long, n long, sig binary, token long, c long"), "jaccard-sets")
-    meta = first.where("sig is not null").select("doc_id", "n", "sig")
-    classes = materialise(meta.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    reps = classes.select("doc_id").distinct()
-    ranks = spark.sparkContext.broadcast(_ranks(first, max_ranked))
-
-    def short_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = _sets(batch, k)
-        tokens = [ranks.value.short(s, num, den) if len(s) else s for s in sets]
-        marks = [[int(mix(s ^ _SALTS[r]).min().view(np.int64)) if len(s) else 0 for r in range(LEADER_ROUNDS)] for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ranks.value.rare(s) for s in sets], pa.int64()), pack(tokens), pa.array(marks, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "rare", "tokens", "marks", "sketch"])
-
-    kept = docs.where("doc_id is not null")
-    short = arrow_map(kept, short_lists, "doc_id long, n long, rare long, tokens binary, marks array<long>, sketch binary").where("n > 0").join(reps, "doc_id", "left_semi")
-    short = materialise(short, "jaccard-short")
+    def of_reps(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows but those of copies, save a few that the filter lets through and that link to their class."""
+        return batch.filter(pa.array(first_ids.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *_arrays(batch.column("tokens"))]))
+        short = [ranks.value.short(s, num, den) for s in _arrays(of_reps(batch).column("shingles"))]
+        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *short]))
 
-    twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(short.select("tokens"), hashes, bloom.PACKED), "jaccard", max_bits))
+    twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(sets.select("doc_id", "shingles"), hashes, bloom.PACKED), "jaccard", max_bits))
 
     def keep_active(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Documents with enough shingles on short lists that may hold another document."""
-        every = _arrays(batch.column("tokens"))
+        batch = of_reps(batch)
+        full = _arrays(batch.column("shingles"))
+        every = [ranks.value.short(s, num, den) for s in full]
         hits = twice.value.contains(np.concatenate([np.zeros(0, np.uint64), *every]))
-        own, lead, at = [], [], 0
-        for t, n in zip(every, batch.column("n").to_pylist(), strict=True):
-            hit = hits[at : at + len(t)]
-            own.append(t[hit])
-            lead.append(int(hit[: indexed(n, num, den)].sum()))
+        kept, rare, own, lead, marks, sketches = [], [], [], [], [], []
+        at = 0
+        for r, (t, s) in enumerate(zip(every, full, strict=True)):
+            n, hit = len(s), hits[at : at + len(t)]
             at += len(t)
-        enough = pa.array([len(t) >= occurrences(least_partner(n, num, den), num, den) for t, n in zip(own, batch.column("n").to_pylist(), strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("rare"), pack(own), pa.array(lead, pa.int64()), batch.column("marks"), batch.column("sketch")], names=["doc_id", "n", "rare", "tokens", "lead", "marks", "sketch"]).filter(enough)
+            if int(hit.sum()) >= occurrences(least_partner(n, num, den), num, den):
+                kept.append(r)
+                rare.append(len(t) - int(hit.sum()))
+                own.append(t[hit])
+                lead.append(int(hit[: indexed(n, num, den)].sum()))
+                marks.append([int(mix(s ^ salt).min().view(np.int64)) for salt in _SALTS])
+                sketches.append(sketch(s))
+        rest = batch.take(pa.array(kept, pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [rest.column("doc_id"), rest.column("n"), rest.column("shingles"), pa.array(rare, pa.int64()), pack(own), pa.array(lead, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+            names=["doc_id", "n", "shingles", "rare", "tokens", "lead", "marks", "sketch"],
+        )
+
+    active = materialise(arrow_map(sets.select("doc_id", "n", "shingles"), keep_active, "doc_id long, n long, shingles binary, rare long, tokens binary, lead long, marks array<long>, sketch binary"), "jaccard-active")
+    for sent in (twice, ranks, first_ids):
+        sent.unpersist()
+
+    labels = _tie(active, num, den, max_bits)
+    candidates = _cross_candidates(active, labels, num, den)
+    links = _verify(candidates, active, num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
+
+    member = spread_join(rows.select("doc_id", "n", "sig").where("n > 0 and doc_id is not null"), classes, "sig").select("doc_id", "n", "rep")
+    member = materialise(spread_join(member, labels.select(F.col("doc_id").alias("rep"), "label"), "rep", how="left").select("doc_id", "n", F.coalesce("label", "rep").alias("label")), "jaccard-members")
+    # rows that share an id, in several classes, join those
+    ends = member.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("doc_id", "a")
+    links = links.unionByName(member.join(ends, "doc_id").where("a <> label").select("a", F.col("label").alias("b")).distinct())
+    parts = components(links).withColumnRenamed("node", "label")
+    rooted = spread_join(member, parts, "label", how="left").select("doc_id", "n", F.coalesce("component", "label").alias("root"))
+    rooted = materialise(rooted, "jaccard-rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = spread_join(rooted, least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def _measure(k: int):
+    """For ``mapInArrow``: each document's set, and at the end the counts of the task's shingles in COUNTER_ROWS rows."""
+    names = ["doc_id", "n", "sig", "shingles", "slot", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            sets = _sets(batch, k)
+            none = pa.nulls(len(sets))
+            if any(map(len, sets)):
+                where, times = np.unique(counter(np.concatenate(sets)), return_counts=True)
+                counts[where] += times.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pack(sets), none.cast(pa.int32()), none.cast(pa.binary())],
+                names=names,
+            )
+        if counts.any():
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, COUNTER_ROWS)]
+            none = pa.nulls(COUNTER_ROWS)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(COUNTER_ROWS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, rare long, tokens binary, lead long, marks array<long>, sketch binary"), "jaccard-active")
+    return run
 
-    labels = active.select("doc_id", F.col("doc_id").alias("label")).distinct()
-    for r in range(LEADER_ROUNDS):
-        roots = active.select("doc_id", "n", "rare", "tokens", F.col("marks")[r].alias("mark"))
-        if r:
-            roots = roots.join(labels.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
-        leaders = roots.groupBy("mark").agg(F.min(F.struct("rare", "doc_id", "n", "tokens")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", "lead")
 
-        def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-            """Pairs of a document and its leader that share enough short lists and fit in size."""
-            n, m = batch.column("n").to_numpy(), batch.column("lead_n").to_numpy()
-            fits = (den * m >= num * n) & (num * m <= den * n)
-            share = [f and len(np.intersect1d(a, b)) >= least_shared(int(x), int(y), num, den) for f, a, b, x, y in zip(fits, _arrays(batch.column("tokens")), _arrays(batch.column("lead_tokens")), n, m, strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lead_id")], names=["x", "y"]).filter(pa.array(share, pa.bool_()))
+def _ranks(first: DataFrame) -> Ranks:
+    """The tasks' counts, added up slot by slot; 4 MB come to the driver, at any size of input."""
 
-        met = roots.join(leaders, "mark").where("doc_id <> lead.doc_id").select("doc_id", "n", "tokens", F.col("lead.doc_id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.tokens").alias("lead_tokens"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, packed in zip(batch.column("slot").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), np.uint32)
+                total = sums.setdefault(slot, np.zeros(len(part), np.uint64))
+                total += part
+        if sums:
+            most = np.uint64(2**32 - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(v, most).astype(np.uint32).tobytes(), 1) for v in sums.values()], pa.binary())], names=["slot", "counts"])
+
+    rows = first.where("slot is not null").select("slot", "counts").repartition(COUNTER_ROWS, "slot").mapInArrow(add, "slot int, counts binary").collect()
+    size = COUNTERS // COUNTER_ROWS
+    out = np.zeros(COUNTERS, np.uint32)
+    for row in rows:
+        out[row["slot"] * size : (row["slot"] + 1) * size] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    return Ranks(out)
+
+
+def _tie(active: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
+    """(doc_id, label): documents tied to leaders by verified links, in rounds until few leaders can be tied."""
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Pairs of a document and its leader that share enough short lists and fit in size."""
+        n, m = batch.column("n").to_numpy(), batch.column("lead_n").to_numpy()
+        fits = (den * m >= num * n) & (num * m <= den * n)
+        share = [f and len(np.intersect1d(a, b)) >= least_shared(int(x), int(y), num, den) for f, a, b, x, y in zip(fits, _arrays(batch.column("tokens")), _arrays(batch.column("lead_tokens")), n, m, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lead_id")], names=["x", "y"]).filter(pa.array(share, pa.bool_()))
+
+    labels = materialise(active.select("doc_id", F.col("doc_id").alias("label")).distinct(), "jaccard-labels")
+    roots = active.select("doc_id", "n", "rare", "tokens", "marks")
+    left = roots.count()
+    for r in range(LEADER_ROUNDS):
+        marked = roots.withColumn("mark", F.col("marks")[r]).drop("marks")
+        if r:
+            marked = marked.join(labels.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
+        marked = materialise(marked, "jaccard-marked")
+        leaders = marked.groupBy("mark").agg(F.min(F.struct("rare", "doc_id", "n", "tokens")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", "lead")
+        met = spread_join(marked, leaders, "mark").where("doc_id <> lead.doc_id").select("doc_id", "n", "tokens", F.col("lead.doc_id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.tokens").alias("lead_tokens"))
         pairs = materialise(arrow_map(met, alike, "x long, y long").distinct(), "jaccard-leaders")
-        tied = _verify(pairs, kept, k, num, den, max_bits).groupBy("x").agg(F.min("y").alias("y"))
-        labels = labels.join(tied, F.col("label") == F.col("x"), "left").select("doc_id", F.coalesce("y", "label").alias("label"))
+        tied = materialise(_verify(pairs, active, num, den, max_bits).groupBy("x").agg(F.min("y").alias("y")), "jaccard-tied")
+        labels = spread_join(labels, tied.withColumnRenamed("x", "label"), "label", how="left").select("doc_id", F.coalesce("y", "label").alias("label"))
         labels = materialise(labels, "jaccard-labels")
-
-    candidates = _cross_candidates(active, labels, num, den)
-    links = _verify(candidates, kept, k, num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
-    parts = components(links)
-    final = classes.join(labels, "doc_id", "left").select("sig", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    final = final.join(parts, F.col("label") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "label").alias("root"))
-    least = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    final = final.join(least, "root").select("sig", "component_id")
-    by_class = meta.where("n > 0 and doc_id is not null").join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = meta.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return by_class.unionByName(alone)
-
-
-def _ranks(first: DataFrame, most: int) -> Ranks:
-    """Counts of the frequent shingles: as many powers of two from above as fit in ``most`` entries."""
-    counts = materialise(first.where("token is not null").groupBy("token").agg(F.sum("c").alias("c")), "jaccard-counts")
-    room, least = most, None
-    for row in sorted(counts.groupBy(F.floor(F.log2("c")).alias("p")).count().collect(), key=lambda r: -r["p"]):
-        room -= row["count"]
-        if room < 0:
+        fewer = tied.count()
+        if fewer <= LEAST_TIED * left:
             break
-        least = 1 << row["p"]
-    if least is None:
-        return Ranks(np.zeros(0, np.uint64), np.zeros(0, np.int32))
-    table = counts.where(F.col("c") >= least).toArrow()
-    hashes, c = table["token"].to_numpy().view(np.uint64), table["c"].to_numpy()
-    order = np.argsort(hashes)
-    return Ranks(hashes[order], np.minimum(c[order], 2**31 - 1).astype(np.int32))
+        left -= fewer
+    return labels
 
 
 def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """(x, label, other, y): pairs under different leaders that share as many short lists as their sizes ask for."""
+    words = SKETCH_BITS // 64
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = _arrays(batch.column("tokens"), np.int64)
@@ -342,50 +370,63 @@ def _cross_candidates(active: DataFrame, labels: DataFrame, num: int, den: int)
 
     postings = arrow_map(active.select("doc_id", "n", "tokens", "lead", "sketch").join(labels, "doc_id"), explode, "token long, doc_id long, n long, label long, listed boolean, sketch binary")
     postings = materialise(postings, "jaccard-postings")
-    mixed = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("listed").alias("held")).where("low < high and held > 0").select("token", "held")
-    mixed = materialise(mixed, "jaccard-mixed")
-    longest = mixed.agg(F.coalesce(F.max("held"), F.lit(1)).alias("n")).first()["n"]
-    chunks = 1 << max(0, (longest // LIST_CHUNK).bit_length())
-    own = materialise(postings.join(mixed.select("token"), "token").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")), "jaccard-lists")
-    lists = own.where("listed").groupBy("token", F.col("label").alias("other"), "chunk").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "sketch"))).alias("items"))
-    lists = lists.select("token", "other", "chunk", F.col("items.doc_id").alias("ids"), F.col("items.n").alias("sizes"), F.col("items.sketch").alias("sketches"))
-    query = own.select("token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"), "label")
-    met = query.join(lists, "token").where("label <> other").select("x", "x_n", "x_sketch", "label", "other", "chunk", "ids", "sizes", "sketches")
-    words = SKETCH_BITS // 64
+    shares = postings.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("listed").alias("held"))
+    mixed = shares.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum("held").alias("held")).where("labels > 1 and held > 0")
+    mixed = materialise(mixed.select("token", F.col("most.label").alias("top"), "c", F.col("most.c").alias("top_c")), "jaccard-mixed")
+    own = spread_join(postings, mixed, "token")
+    part = lambda size, count: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(count) / size)).cast("int")
+    own = materialise(own.withColumn("asked", F.col("c") - F.col("top_c")), "jaccard-lists")
+    item = F.struct("doc_id", "n", "label", "listed", "sketch")
+    lists = own.groupBy("token", part(LIST_CHUNK, "c").alias("chunk")).agg(F.collect_list(item).alias("held"))
+    asking = own.where("label <> top").groupBy("token", "top", part(QUERY_BLOCK, "asked").alias("block")).agg(F.collect_list(item).alias("asked"))
+    met = asking.join(lists, "token").select("token", "top", "chunk", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("asked", "held") for c in ("doc_id", "n", "label", "listed", "sketch")))
 
     def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """List entries that may link, before the lists are dealt to the sets that look for partners."""
-        columns = [batch.column(c) for c in ("ids", "sizes", "sketches")]
-        cuts, size_cuts, sketch_cuts = (c.offsets.to_numpy() for c in columns)
-        all_ids, all_sizes = (c.values.to_numpy() for c in columns[:2])
-        packed = columns[2].values.cast(pa.binary(SKETCH_BITS // 8))
-        all_sketches = np.frombuffer(packed.buffers()[1], np.uint64).reshape(-1, words)[packed.offset : packed.offset + len(packed)]
-        kept, ids, sizes = [], [], []
-        own = zip(batch.column("x_n").to_pylist(), batch.column("x_sketch").to_pylist(), batch.column("label").to_pylist(), batch.column("other").to_pylist(), strict=True)
-        for r, (n, mark, label, other) in enumerate(own):
-            m = all_sizes[size_cuts[r] : size_cuts[r + 1]]
-            fits = (den * m >= num * n) & ((m < n) | ((other < label) & (m == n)))
-            fits &= apart(np.frombuffer(mark, np.uint64), all_sketches[sketch_cuts[r] : sketch_cuts[r + 1]]) <= n + m - 2 * (-(-num * (n + m) // (num + den)))
-            if fits.any():
-                kept.append(r)
-                ids.append(all_ids[cuts[r] : cuts[r + 1]][fits])
-                sizes.append(m[fits])
-        rest = batch.take(pa.array(kept, pa.int64())).select(["x", "x_n", "label", "other", "chunk"])
-        lists_of = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([*rest.columns, pa.array(ids, lists_of), pa.array(sizes, lists_of)], names=["x", "x_n", "label", "other", "chunk", "ids", "sizes"])
-
-    met = arrow_map(met, narrow, "x long, x_n long, label long, other long, chunk int, ids array<long>, sizes array<long>")
+        """The pairs of a block and a chunk that may link: the larger set, the smaller one and the shingle."""
+        sides = []
+        for side in ("asked", "held"):
+            columns = {c: batch.column(f"{side}_{c}") for c in ("doc_id", "n", "label", "listed", "sketch")}
+            cuts = columns["doc_id"].offsets.to_numpy().astype(np.int64)
+            flat = {c: v.values.to_numpy(zero_copy_only=False) for c, v in columns.items() if c != "sketch"}
+            packed = columns["sketch"].values.cast(pa.binary(SKETCH_BITS // 8))
+            flat["sketch"] = np.frombuffer(packed.buffers()[1], np.uint64).reshape(-1, words)[packed.offset : packed.offset + len(packed)]
+            sides.append((cuts[:-1], np.diff(cuts), flat))
+        (q_at, q_len, q), (l_at, l_len, held) = sides
+        tokens, tops = batch.column("token").to_numpy(), batch.column("top").to_numpy()
+        ends = np.cumsum(q_len * l_len)
+        out = []
+        for start in range(0, int(ends[-1]), PAIRS_AT_ONCE):
+            pair = np.arange(start, min(start + PAIRS_AT_ONCE, int(ends[-1])))
+            row = np.searchsorted(ends, pair, side="right")
+            pair -= (ends - q_len * l_len)[row]
+            i, j = q_at[row] + pair // l_len[row], l_at[row] + pair % l_len[row]
+            n, m = q["n"][i], held["n"][j]
+            larger = (n > m) | ((n == m) & (q["doc_id"][i] > held["doc_id"][j]))
+            fits = (q["label"][i] != held["label"][j]) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+            fits &= np.where(larger, held["listed"][j], q["listed"][i] & (held["label"][j] == tops[row]))
+            i, j, row, larger, n, m = (v[fits] for v in (i, j, row, larger, n, m))
+            near = apart(q["sketch"][i], held["sketch"][j]) <= n + m - 2 * (-(-num * (n + m) // (num + den)))
+            i, j, row, larger, n, m = (v[near] for v in (i, j, row, larger, n, m))
+            big = lambda c: np.where(larger, q[c][i], held[c][j])  # noqa: B023, E731
+            small = lambda c: np.where(larger, held[c][j], q[c][i])  # noqa: B023, E731
+            out.append([big("doc_id"), big("n"), big("label"), small("doc_id"), small("n"), small("label"), tokens[row]])
+        columns = [np.concatenate(v) for v in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["x", "x_n", "label", "y", "y_n", "other", "token"])
+
+    near = arrow_map(met, narrow, "x long, x_n long, label long, y long, y_n long, other long, token long")
+    near = materialise(near, "jaccard-near")
 
     def search(part: pa.Table) -> pa.Table:
-        n, found = part["x_n"][0].as_py(), {}
-        for label, other, ids, sizes in zip(*(part[c].to_pylist() for c in ("label", "other", "ids", "sizes")), strict=True):
-            found.setdefault((label, other), []).append(zip(ids, sizes, strict=True))
-        rows = []
-        for ends, lists in found.items():
-            merged = merge_short(lists)
-            rows += [(*ends, int(y)) for y in np.unique(merged[merged[:, 2] >= least_listed(n, merged[:, 1], num, den), 0])]
-        x = pa.array([part["x"][0].as_py()] * len(rows), pa.int64())
-        return pa.table({"x": x, **{c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("label", "other", "y"))}})
-
-    candidates = met.groupBy("x", "x_n", "chunk").applyInArrow(search, "x long, label long, other long, y long").distinct()
+        """Heap-merges the short lists of one set, and keeps who stands on enough of them."""
+        n, lists = part["x_n"][0].as_py(), {}
+        for token, *entry in zip(*(part[c].to_pylist() for c in ("token", "y", "y_n", "label", "other")), strict=True):
+            lists.setdefault(token, []).append(tuple(entry))
+        merged = merge_short([sorted(v) for v in lists.values()])
+        merged = merged[merged[:, 4] >= least_listed(n, merged[:, 1], num, den)]
+        x = pa.array([part["x"][0].as_py()] * len(merged), pa.int64())
+        return pa.table({"x": x, **{c: pa.array(merged[:, i]) for c, i in (("label", 2), ("other", 3), ("y", 0))}})
+
+    longest = near.groupBy("x").count().agg(F.coalesce(F.max("count"), F.lit(1)).alias("n")).first()["n"]
+    bucket = F.pmod(F.xxhash64("y"), F.lit(-(-longest // (1 << 16)))).cast("int")
+    candidates = near.groupBy("x", bucket.alias("bucket")).applyInArrow(search, "x long, label long, other long, y long").distinct()
     return materialise(candidates, "jaccard-candidates")

@@ -1,17 +1,19 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code is the signs of its components.  The 64 bits are cut into four segments of 16.  A block of distinct codes has,
-for each segment, the codes sorted by that segment.  A query first looks up its own segments, then all
-segments one bit away, and so on.  Once radius r is done in every segment, all codes within 4 * (r + 1) - 1 bits
-have been seen, so the search ends when the k-th verified distance is no more.
-
-Equal codes are one entry with its count and its k least ids.  Entries and queries are dealt into blocks of fixed mean size; each pair of
-blocks is searched by a task of its own, and the k best of all blocks are the answer.
+A vector's code is the signs of its components, of any number.  The bits are cut into segments of about log2(n) bits, n being the
+number of distinct codes.  The index holds each code once for each segment, dealt by the segment's number and its first
+bits.  In round r a query goes to those parts of the index that hold values r bits away from its own segments, and
+looks them up there; so entries and queries meet only where a probe falls.  After round r every
+code within m * (r + 1) - 1 bits has been seen in m segments.  The distances verified so far, from all
+parts together, bound the search of the next round, and a query whose k-th is covered takes no part in it.
+
+Equal codes are one entry with its count and its least ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,114 +21,155 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pack
-
-SEGMENTS, SEGMENT_BITS = 4, 16
-BITS = SEGMENTS * SEGMENT_BITS
-#: Distinct codes in a block, and queries in a block, in the mean.
-BLOCK, QUERY_BLOCK = 1 << 16, 1 << 13
-
-_RINGS = [np.array([sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), r)], np.int64) for r in range(SEGMENT_BITS + 1)]
-
-
-def code_of(vector: np.ndarray | None) -> int:
-    """The signs of at most 64 components, the first in the lowest bit; missing and NaN count as not positive."""
-    if vector is None:
-        return 0
-    v = np.asarray(vector, np.float64)
-    if len(v) > BITS:
-        raise ValueError(f"a vector of {len(v)} components; codes hold {BITS}")
-    return int((np.nan_to_num(v) > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(len(v), dtype=np.uint64))) if len(v) else 0
-
-
-class Block:
-    """A multi-index over distinct codes."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.order, self.starts = [], []
-        for s in range(SEGMENTS):
-            part = self.segment(codes, s)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << SEGMENT_BITS))]))
-
-    @staticmethod
-    def segment(codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * SEGMENT_BITS)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-
-    def search(self, query: np.uint64, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, distances): all entries up to the distance at which their counts reach ``k``."""
-        seen = np.zeros(len(self.codes), bool)
-        found, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        own = [int(self.segment(np.array([query], np.uint64), s)[0]) for s in range(SEGMENTS)]
-        limit = BITS
-        for r in range(SEGMENT_BITS + 1):
-            for s in range(SEGMENTS):
-                probes = own[s] ^ _RINGS[r]
-                a, b = self.starts[s][probes], self.starts[s][probes + 1]
-                size = b - a
-                if not size.any():
-                    continue
-                a, size = a[size > 0], size[size > 0]
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                new = self.order[s][at]
-                new = new[~seen[new]]
-                seen[new] = True
-                found.append(new)
-                far.append(np.bitwise_count(self.codes[new] ^ query).astype(np.int64))
-            distance = np.concatenate(far)
-            covered = SEGMENTS * (r + 1) - 1
-            reach = np.cumsum(np.bincount(distance, weights=counts[np.concatenate(found)], minlength=BITS + 1))
-            limit = int(np.searchsorted(reach, k)) if len(distance) and reach[-1] >= k else BITS
-            if limit <= covered or seen.all():
-                break
-        entries = np.concatenate(found)
-        keep = distance <= limit
-        return entries[keep], distance[keep]
+from .common import arrow_map, materialise
+
+#: Bits of a segment; codes in a part of the index and queries that visit it together, in the mean.
+LEAST_BITS, MOST_BITS = 8, 22
+PART, QUERIES_AT_ONCE = 1 << 13, 1 << 16
+
+
+@lru_cache(maxsize=64)
+def ring(bits: int, r: int) -> np.ndarray:
+    """All numbers of ``bits`` bits with ``r`` of them set."""
+    return np.array([sum(1 << b for b in which) for which in combinations(range(bits), r)], np.int64)
+
+
+def pack_codes(vectors: list[list | None], size: int) -> np.ndarray:
+    """The signs of the components, eight to a byte, the first lowest; null, NaN and missing ones count as not positive."""
+    bits = np.zeros((len(vectors), size * 8), bool)
+    for row, v in zip(bits, vectors, strict=True):
+        if v:
+            row[: len(v)] = np.array([x is not None and x > 0 for x in v], bool)
+    return np.packbits(bits, axis=1, bitorder="little")
+
+
+def cut(bits: int, entries: int) -> list[tuple[int, int]]:
+    """(start, width) of the segments, as equal as can be."""
+    wide = min(MOST_BITS, max(LEAST_BITS, entries.bit_length() - 1))
+    m = max(1, -(-bits // wide))
+    edges = [i * bits // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def segment(codes: np.ndarray, start: int, width: int) -> np.ndarray:
+    """The segment's value in each packed code."""
+    bits = np.unpackbits(codes, axis=1, count=start + width, bitorder="little")[:, start:]
+    return bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+
+
+def rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1) if values else np.zeros((0, 1), np.uint8)
+
+
+def look_up(entries: np.ndarray, query: np.ndarray, order: np.ndarray, sorted_low: np.ndarray, probes: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, distances) of those under the probed values that lie within ``bound`` bits of the query."""
+    a, b = np.searchsorted(sorted_low, probes), np.searchsorted(sorted_low, probes, side="right")
+    size = b - a
+    a, size = a[size > 0], size[size > 0]
+    at = order[np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(a) else np.zeros(0, np.int64)
+    far = np.bitwise_count(entries[at] ^ query).sum(axis=1, dtype=np.int64)
+    return at[far <= bound], far[far <= bound]
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 50) -> DataFrame:
     """The ``k`` rows nearest to every query row in Hamming distance; queries are the ids divisible by ``every``.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``distance``: ties go to the smaller id; the query itself isn't among its
-    neighbours, rows that share another id with the same code are.  With fewer than ``k`` other rows all are returned.  Null vectors and
-    components that are null or NaN count as not positive; components after the 64th are not read.  Rows with a
+    neighbours, rows that share another id with the same code are.  With fewer than ``k`` other rows all are returned.  All components
+    count; null vectors, components that are null or NaN and those that a shorter vector lacks count as not positive.  Rows with a
     null id are left out, repeated ids count once for each code.  Extra columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
+    bits = max(1, rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("n")).first()["n"])
 
-    def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = np.array([code_of(None if v is None else [0.0 if x is None else x for x in v]) for v in batch.column("v").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(codes.view(np.int64))], names=["vec_id", "code"])
+    def to_codes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = pack_codes(batch.column("v").to_pylist(), -(-bits // 8))
+        return pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "code"])
 
-    coded = materialise(rows.mapInArrow(to_codes, "vec_id long, code long").distinct(), "codes")
-    least = coded.withColumn("part", F.spark_partition_id())  # k + 1 least ids of a code: first in each partition, then of those
+    coded = materialise(arrow_map(rows, to_codes, "vec_id long, code binary").distinct(), "codes")
+    queries = materialise(coded.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id"), "codes-queries")
+    own = queries.groupBy("query_id").agg((F.count(F.lit(1)) + k).cast("int").alias("need"))  # the query's own rows are among the nearest
+    most = own.agg(F.coalesce(F.max("need"), F.lit(k + 1)).alias("n")).first()["n"]
+    least = coded.withColumn("part", F.spark_partition_id())  # least ids of a code: first in each partition, then of those
     for keys in (["code", "part"], ["code"]):
         w = Window.partitionBy(*keys).orderBy("vec_id")
-        least = least.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1).drop("nth")
-    entries = least.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("code", "ids", F.size("ids").alias("held"))
-    entries = materialise(entries, "codes-entries")
-    n_blocks = max(1, -(-entries.count() // BLOCK))
-    queries = coded.where(F.col("vec_id") % every == 0)
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    data = entries.select("code", "ids", "held", block("code", n_blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "code", block("vec_id", q_blocks).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            codes, held = left["code"].to_numpy().view(np.uint64), left["held"].to_numpy()
-            ids, index = left["ids"].to_pylist(), Block(codes)
-            for query, code in zip(right["query_id"].to_pylist(), right["code"].to_numpy().view(np.uint64), strict=True):
-                near, far = index.search(code, held, k + 1)
-                best = sorted((d, i) for e, d in zip(near.tolist(), far.tolist(), strict=True) for i in ids[e] if i != query)[:k]
-                out += [(query, i, d) for d, i in best]
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "distance"), columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)})
-
-    found = data.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(search, "query_id long, vec_id long, distance int")
+        least = least.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+    entries = least.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    entries = materialise(entries.select("code", "ids", F.size("ids").alias("held"), F.col("ids")[0].alias("low_id")), "codes-entries")
+    n_codes = entries.count()
+    segments = cut(bits, n_codes)
+    head = max(0, (-(-n_codes // PART) - 1).bit_length())  # first bits of a segment that name a part of the index
+    heads = [min(head, width) for _, width in segments]
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes, out = rows_of(batch.column("code")), []
+        for s, (start, width) in enumerate(segments):
+            out.append((np.full(len(codes), s), segment(codes, start, width) >> (width - heads[s])))
+        at = pa.array(np.tile(np.arange(len(codes)), len(segments)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in out]), pa.int32()), pa.array(np.concatenate([p for _, p in out])), *(batch.column(c).take(at) for c in ("code", "held", "low_id"))], names=["seg", "part", "code", "held", "low_id"])
+
+    index = materialise(arrow_map(entries.select("code", "held", "low_id"), deal, "seg int, part long, code binary, held int, low_id long"), "codes-index")
+    sizes = index.groupBy("seg", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * PART)).cast("int").alias("chunks"))
+    sizes = materialise(sizes, "codes-sizes")  # values that many codes share: parts in several chunks
+    index = index.join(sizes, ["seg", "part"]).withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
+    index = materialise(index.drop("chunks"), "codes-chunks")
+
+    open_ = materialise(queries.join(own, "query_id").withColumn("bound", F.lit(bits)), "codes-open")
+    best = None
+    for r in range(max(width for _, width in segments) + 1):
+
+        def route(batch: pa.RecordBatch, r: int = r) -> pa.RecordBatch:
+            """Each query and the parts that hold values ``r`` bits away; ``rest`` of these bits are past the part's own."""
+            codes, pieces = rows_of(batch.column("code")), []
+            for s, (start, width) in enumerate(segments):
+                part = segment(codes, start, width) >> (width - heads[s])
+                for d in range(max(0, r - (width - heads[s])), min(r, heads[s]) + 1):
+                    away = ring(heads[s], d)
+                    pieces.append((np.repeat(np.arange(len(codes)), len(away)), np.full(len(codes) * len(away), s), (part[:, None] ^ away).ravel(), np.full(len(codes) * len(away), r - d)))
+            at, seg, part, rest = (np.concatenate(v) for v in zip(*pieces, strict=True)) if pieces else (np.zeros(0, np.int64),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(part), pa.array(rest, pa.int32()), *(batch.column(c).take(pa.array(at)) for c in ("query_id", "code", "need", "bound"))], names=["seg", "part", "rest", "query_id", "code", "need", "bound"])
+
+        visits = arrow_map(open_.select("query_id", "code", "need", "bound"), route, "seg int, part long, rest int, query_id long, code binary, need int, bound int")
+        visits = materialise(visits.join(sizes, ["seg", "part"]), "codes-visits")  # parts that hold no code drop out
+        crowds = materialise(visits.groupBy("seg", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("crowds")), "codes-crowds")
+        asked = visits.join(crowds, ["seg", "part"]).withColumn("crowd", F.pmod(F.xxhash64("query_id", "code"), F.col("crowds")).cast("int"))
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks", "crowds")
+        data = index.join(crowds, ["seg", "part"]).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).drop("crowds")
+
+        def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            if len(left) and len(right):
+                s = left["seg"][0].as_py()
+                start, width = segments[s]
+                mask = (1 << (width - heads[s])) - 1
+                codes, wanted = rows_of(left["code"]), rows_of(right["code"])
+                held, low_id, packed = left["held"].to_numpy(), left["low_id"].to_numpy(), left["code"].to_pylist()
+                low = segment(codes, start, width) & mask
+                order = np.argsort(low, kind="stable")
+                sorted_low, own_low = low[order], segment(wanted, start, width) & mask
+                columns = (right[c].to_pylist() for c in ("query_id", "code", "need", "bound", "rest"))
+                for query, value, (qid, code, need, bound, rest) in zip(wanted, own_low, zip(*columns, strict=True), strict=True):
+                    at, far = look_up(codes, query, order, sorted_low, value ^ ring(width - heads[s], rest), bound)
+                    nearest = np.lexsort((low_id[at], far))[:need]
+                    out += [(qid, code, need, packed[e], int(d), int(held[e]), int(low_id[e])) for e, d in zip(at[nearest], far[nearest], strict=True)]
+            names = (("query_id", pa.int64()), ("code", pa.binary()), ("need", pa.int32()), ("entry", pa.binary()), ("distance", pa.int32()), ("held", pa.int32()), ("low_id", pa.int64()))
+            return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(names)})
+
+        keys = ["seg", "part", "chunk", "crowd"]
+        found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(probe, "query_id long, code binary, need int, entry binary, distance int, held int, low_id long")
+        best = found.distinct() if best is None else best.unionByName(found).distinct()
+        nearest = Window.partitionBy("query_id", "code").orderBy("distance", "low_id", "entry")
+        best = best.withColumn("nth", F.row_number().over(nearest)).withColumn("sum", F.sum("held").over(nearest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        best = materialise(best.where("nth <= need").drop("nth"), "codes-best")
+        reached = best.where("sum >= need").groupBy("query_id", "code").agg(F.min("distance").alias("kth"))
+        covered = len(segments) * (r + 1) - 1
+        best = best.drop("sum")
+        open_ = open_.join(reached, ["query_id", "code"], "left").withColumn("bound", F.coalesce("kth", "bound")).drop("kth").where(F.col("bound") > covered)
+        open_ = materialise(open_, "codes-open")
+        if open_.isEmpty():
+            break
+    near = best.select("query_id", F.col("entry").alias("code"), "distance").distinct().join(entries.select("code", "ids"), "code")
+    near = near.select("query_id", F.explode("ids").alias("vec_id"), "distance").where("vec_id <> query_id").distinct()
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tiergrid.llm.shingles import mix
 from tiergrid.llm import bpe, hamming, html, jaccard, line_dedup, media, mixing, pii, quality, queries, substring, webp
 
 SF = "/root/testdata/sf0.001"
@@ -102,12 +103,13 @@ def test_divide_skip_parts():
 
 def test_linking_sets_share_enough_short_lists():
     rng = np.random.default_rng(2)
+    counts = rng.integers(0, 5, jaccard.COUNTERS).astype(np.uint32)
     for num, den in ((90, 100), (80, 100), (50, 100)):
         for _ in range(400):
             base = rng.choice(600, rng.integers(1, 120), replace=False)
             a, b = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.97], rng.integers(600, 700, rng.integers(1, 6))])).astype(np.uint64) for _ in range(2))
-            table = np.unique(rng.integers(0, 700, 300)).astype(np.uint64)
-            ranks = jaccard.Ranks(table, rng.integers(1, 40, len(table)).astype(np.int32))
+            a, b = (np.unique(mix(x)) for x in (a, b))
+            ranks = jaccard.Ranks(counts)
             marks = [np.frombuffer(jaccard.sketch(x), np.uint64) for x in (a, b)]
             assert jaccard.apart(marks[0], marks[1][None])[0] <= len(np.setxor1d(a, b))
             if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
@@ -122,6 +124,46 @@ def test_near_duplicates_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(9, one), (4, one), (9, two), (6, two + " end"), (7, "other words"), (7, "other words"), (2, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (4, 4), (6, 4), (7, 7), (7, 7), (9, 4), (9, 4)]
+
+
+def test_a_large_group_under_several_leaders(spark, monkeypatch):
+    """Near copies of copies, so that chains of links cross leaders, in blocks and chunks of a few rows and with hot keys."""
+    for name, size in (("LIST_CHUNK", 8), ("QUERY_BLOCK", 4), ("PAIRS_AT_ONCE", 16), ("LEADER_ROUNDS", 1)):
+        monkeypatch.setattr(jaccard, name, size)
+    monkeypatch.setattr("tiergrid.llm.common.HOT_SHARE", 4)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(3):
+        drift = list(base)
+        for step in range(40):
+            drift[rng.randrange(120)] = f"v{rng.randrange(400)}"
+            texts.append(" ".join(drift))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df, k=3, num=90).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(sets, 90, 100)
+
+
+def sql_rows(name, folder):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return c.sql(queries.ORACLES[name]).df()
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_exact_topk"])
+def test_query_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    got, want = queries.QUERIES[name](spark, folder).toPandas(), sql_rows(name, folder)
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want[list(got.columns)].to_numpy().tolist()))
+
+
 def test_substring(docs, texts, empty):
     got, rows = by_id(substring.repeated_passages(docs))
     assert len(rows) == len(texts) + 1
@@ -172,27 +214,23 @@ def test_chain_after_a_long_passage():
     assert sorted(map(len, found)) == [10, 80]
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize(("size", "part"), [(64, 1 << 13), (100, 16), (3, 4)])
+def test_top_k_is_exact(spark, monkeypatch, size, part):
+    monkeypatch.setattr(hamming, "PART", part)
     rng = np.random.default_rng(3)
-    v = rng.normal(size=(400, 64))
+    v = rng.normal(size=(400, size))
     v[10:20] = v[5]
-    rows = [(i, [float(a) for a in x]) for i, x in enumerate(v)] + [(400, None), (450, [float("nan")] * 64), (None, [1.0] * 64)]
+    rows = [(i, [float(a) for a in x]) for i, x in enumerate(v)] + [(400, None), (450, [float("nan")] * size), (451, [1.0, None]), (None, [1.0] * size), (50, [float(a) for a in v[7]])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, code int")
-    codes = {i: hamming.code_of(e) for i, e in rows if i is not None}
+    codes = [(i, sum(1 << j for j, x in enumerate(e or ()) if x is not None and x > 0)) for i, e in rows if i is not None]
     got: dict[int, list] = {}
     for r in hamming.top_k(df, k=7).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
-    want = {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:7] for q in codes if q % 50 == 0}
+    want = {q: sorted({((own ^ c).bit_count(), i) for p, own in codes if p == q for i, c in codes if i != q})[:7] for q, _ in codes if q % 50 == 0}
     assert got == want
     assert hamming.top_k(df.where(F.lit(False))).count() == 0
 
 
-def test_codes_take_no_longer_vectors():
-    assert hamming.code_of(np.ones(64)) == 2**64 - 1
-    with pytest.raises(ValueError, match="65 components"):
-        hamming.code_of(np.ones(65))
-
-
 def test_mixing(spark, docs, texts, empty):
     rows = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs).collect()

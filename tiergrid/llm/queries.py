@@ -87,6 +87,34 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM shared WHERE 100 * common >= 90 * (n + m - common)),
+reach(doc_id, node) AS (
+  SELECT x, y FROM links
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.node = l.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.node), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.s
+""",
+    "op4_exact_topk": r"""
+WITH near AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    list_sum(list_transform(range(1, greatest(len(q.embedding), len(v.embedding)) + 1),
+      lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(v.embedding[i] > 0, false))::INTEGER))::INTEGER AS distance
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance FROM near)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+""",
     "op1_line_dedup": r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Segments of the hash space, a power of two; also the most tasks that fill filters.
 SEGMENTS = 64
@@ -127,4 +127,5 @@ def twice_filter(packed: DataFrame, name: str, max_bits: int = MAX_BITS, once: b
             )
 
     rows = packed.repartition(max(1, min(SEGMENTS, total // LEAST_HASHES)), "seg").select("seg", "once", "twice").mapInArrow(fill, "seg int, bits binary").collect()
+    release(packed)
     return TwiceFilter(bits, {r["seg"]: bytes(r["bits"]) for r in rows})

@@ -41,14 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     """Delete the application's tables when the driver's Python ends, if its JVM still runs."""
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
+    if spark.sparkContext._jvm is None or spark.sparkContext._jsc is None:
         return
     try:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
     except Exception:  # noqa: BLE001  the JVM went first; the folder is the cluster's to clear
         return
 
@@ -59,7 +62,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once what was made of them is itself written."""
+    for table in tables:
+        _delete(table.sparkSession, table.shared_path)
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", weigh: DataFrame | None = None) -> DataFrame:

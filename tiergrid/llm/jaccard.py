@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_bytes, arrow_map, materialise, pack, small_batches, spread_join
+from .common import as_bytes, arrow_map, materialise, pack, release, small_batches, spread_join
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -170,28 +170,37 @@ def _arrays(column: pa.Array, dtype: type = np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
-    """The pairs (x, y, and what else they hold) that link.
-
-    Only the sets of documents that stand in a pair shuffle; a Bloom filter of their ids picks them.
-    """
-    other = pairs.columns
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"))
-    wanted = pairs.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, "doc_id", "jaccard-wanted", max_bits))
+def _pick(rows: DataFrame, ids: DataFrame, column: str, max_bits: int) -> DataFrame:
+    """The rows whose ``doc_id`` is among a column's whole numbers, and a few more that a Bloom filter lets through."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, column, "jaccard-wanted", max_bits))
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(wanted.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
 
-    sets = materialise(arrow_map(sets.select("doc_id", "shingles"), pick, "doc_id long, shingles binary"), "jaccard-wanted-sets")
+    out = materialise(arrow_map(rows, pick, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)), "jaccard-wanted")
     wanted.unpersist()
-    full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x")
-    full = spread_join(full, sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_set")), "y", weigh=pairs)
+    return out
+
+
+def _links(num: int, den: int, names: list[str]):
+    """For ``arrow_map``: the columns ``names`` of the pairs whose sets ``x_set`` and ``y_set`` link."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = [reaches(a, b, required(len(a), len(b), num, den)) for a, b in zip(_arrays(batch.column("x_set")), _arrays(batch.column("y_set")), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in other], names=other).filter(pa.array(linked, pa.bool_()))
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(linked, pa.bool_()))
 
-    return arrow_map(full.select(*other, "x_set", "y_set"), check, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)).distinct()
+    return check
+
+
+def _verify(pairs: DataFrame, active: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
+    """The pairs (x, y, and what else they hold) that link; only the sets of documents that stand in a pair shuffle."""
+    sets = _pick(active.select("doc_id", "shingles"), pairs.select(F.explode(F.array("x", "y")).alias("doc_id")), "doc_id", max_bits)
+    full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x")
+    full = spread_join(full, sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_set")), "y", weigh=pairs)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    out = materialise(arrow_map(full.select(*pairs.columns, "x_set", "y_set"), _links(num, den, pairs.columns), schema).distinct(), "jaccard-verified")
+    release(sets)
+    return out
 
 
 def near_duplicates(
@@ -218,8 +227,8 @@ def near_duplicates(
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     first = materialise(docs.mapInArrow(_measure(k), "doc_id long, n long, sig binary, shingles binary, slot int, counts binary"), "jaccard-sets")
-    rows = first.where("sig is not null")
-    sets = rows.where("n > 0 and doc_id is not null")
+    rows = materialise(first.where("sig is not null").select("doc_id", "n", "sig"), "jaccard-rows")
+    sets = first.where("n > 0 and doc_id is not null").select("doc_id", "n", "sig", "shingles")
     classes = materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     ranks = spark.sparkContext.broadcast(_ranks(first))
     first_ids = spark.sparkContext.broadcast(bloom.member_filter(classes, "rep", "jaccard-reps", max_bits))
@@ -259,14 +268,17 @@ def near_duplicates(
         )
 
     active = materialise(arrow_map(sets.select("doc_id", "n", "shingles"), keep_active, "doc_id long, n long, shingles binary, rare long, tokens binary, lead long, marks array<long>, sketch binary"), "jaccard-active")
+    release(first)
     for sent in (twice, ranks, first_ids):
         sent.unpersist()
 
     labels = _tie(active, num, den, max_bits)
     candidates = _cross_candidates(active, labels, num, den)
-    links = _verify(candidates, active, num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
+    links = _verify(candidates, active.select("doc_id", "shingles"), num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
+
+    release(active)
 
-    member = spread_join(rows.select("doc_id", "n", "sig").where("n > 0 and doc_id is not null"), classes, "sig").select("doc_id", "n", "rep")
+    member = spread_join(rows.where("n > 0 and doc_id is not null"), classes, "sig").select("doc_id", "n", "rep")
     member = materialise(spread_join(member, labels.select(F.col("doc_id").alias("rep"), "label"), "rep", how="left").select("doc_id", "n", F.coalesce("label", "rep").alias("label")), "jaccard-members")
     # rows that share an id, in several classes, join those
     ends = member.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("doc_id", "a")
@@ -329,27 +341,29 @@ def _ranks(first: DataFrame) -> Ranks:
 def _tie(active: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
     """(doc_id, label): documents tied to leaders by verified links, in rounds until few leaders can be tied."""
 
-    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Pairs of a document and its leader that share enough short lists and fit in size."""
-        n, m = batch.column("n").to_numpy(), batch.column("lead_n").to_numpy()
-        fits = (den * m >= num * n) & (num * m <= den * n)
-        share = [f and len(np.intersect1d(a, b)) >= least_shared(int(x), int(y), num, den) for f, a, b, x, y in zip(fits, _arrays(batch.column("tokens")), _arrays(batch.column("lead_tokens")), n, m, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lead_id")], names=["x", "y"]).filter(pa.array(share, pa.bool_()))
-
     labels = materialise(active.select("doc_id", F.col("doc_id").alias("label")).distinct(), "jaccard-labels")
-    roots = active.select("doc_id", "n", "rare", "tokens", "marks")
-    left = roots.count()
+    left = labels.count()
     for r in range(LEADER_ROUNDS):
-        marked = roots.withColumn("mark", F.col("marks")[r]).drop("marks")
+        marked = active.select("doc_id", "rare", F.col("marks")[r].alias("mark"))
         if r:
             marked = marked.join(labels.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
         marked = materialise(marked, "jaccard-marked")
-        leaders = marked.groupBy("mark").agg(F.min(F.struct("rare", "doc_id", "n", "tokens")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", "lead")
-        met = spread_join(marked, leaders, "mark").where("doc_id <> lead.doc_id").select("doc_id", "n", "tokens", F.col("lead.doc_id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.tokens").alias("lead_tokens"))
-        pairs = materialise(arrow_map(met, alike, "x long, y long").distinct(), "jaccard-leaders")
-        tied = materialise(_verify(pairs, active, num, den, max_bits).groupBy("x").agg(F.min("y").alias("y")), "jaccard-tied")
-        labels = spread_join(labels, tied.withColumnRenamed("x", "label"), "label", how="left").select("doc_id", F.coalesce("y", "label").alias("label"))
-        labels = materialise(labels, "jaccard-labels")
+        leaders = marked.groupBy("mark").agg(F.min(F.struct("rare", "doc_id")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", F.col("lead.doc_id").alias("y"))
+        leaders = materialise(leaders, "jaccard-leaders")
+        groups = spread_join(marked, leaders, "mark")
+        sets = _pick(active.select("doc_id", F.col("marks")[r].alias("mark"), "shingles"), groups, "doc_id", max_bits)
+        heads = _pick(sets.select("doc_id", "mark", "shingles"), leaders, "y", max_bits)
+        heads = heads.select(F.col("doc_id").alias("y"), "mark", F.col("shingles").alias("y_set")).join(leaders, ["y", "mark"]).dropDuplicates(["mark"])
+        met = spread_join(sets.select(F.col("doc_id").alias("x"), "mark", F.col("shingles").alias("x_set")), heads, "mark", weigh=sets.select("mark")).where("x <> y")
+        size = (F.length("x_set"), F.length("y_set"))
+        met = met.where((den * F.least(*size)) >= (num * F.greatest(*size))).select("x", "y", "x_set", "y_set")
+        tied = materialise(arrow_map(met, _links(num, den, ["x", "y"]), "x long, y long").groupBy("x").agg(F.min("y").alias("label")), "jaccard-tied")
+        tied = materialise(tied.join(leaders.select(F.col("y").alias("x")), "x", "left_anti"), "jaccard-tied")  # ids of several texts lead or follow, not both
+        if r:  # the filters may let through some that have a leader already
+            tied = materialise(tied.join(labels.where("doc_id = label").select(F.col("doc_id").alias("x")), "x", "left_semi"), "jaccard-tied")
+        changed = spread_join(labels, tied.select(F.col("x").alias("label"), F.col("label").alias("to")), "label", how="left").select("doc_id", F.coalesce("to", "label").alias("label"))
+        labels = materialise(changed, "jaccard-labels")
+        release(sets, marked)
         fewer = tied.count()
         if fewer <= LEAST_TIED * left:
             break

@@ -7,16 +7,17 @@ the smallest partner, the others the short ones.  Short lists are stored, and he
 on T - L of them, with the T of both sizes.  Whether a candidate stands on enough of the long lists is probed by binary
 search in its own sorted set, which is those lists read the other way round, until T is reached or out of reach.
 
-Texts are read and hashed once, into packed sets.  What keeps the rest linear where texts repeat:
+All texts are hashed twice, once for digests and counts and once for short lists; the sets of those documents alone that
+a pair asks to verify are made again, so no table is larger than the texts.  What keeps the rest linear where texts repeat:
 
 * equal sets are one class, found by a digest; copies never meet;
 * a pair of Bloom filters drops the short-list shingles that only one class holds, before any shuffle;
 * near copies are first tied to one leader for each least hash, the document with the fewest rare shingles, as
-  the text from which copies were edited has (each link verified); later only pairs under different leaders
+  the text from which copies were edited has (pairs that a sketch lets through, each link verified); later only pairs under different leaders
   are sought, for only they can join components.  A group of near copies so costs a row a document;
 * lists are kept by (shingle, chunk), and sets that look for partners by (shingle, block).  Of two sets under
   different leaders one at least isn't under the leader that most of a list has, so only the others look.  A block meets
-  a chunk in one row, and a sketch of 32 bytes, an exact lower bound of the difference of two sets, picks
+  a chunk in one row, and the sketch, 32 bytes that bound the difference of two sets exactly from below, picks
   the pairs that leave the task.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,35 +171,30 @@ def _arrays(column: pa.Array, dtype: type = np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def _pick(rows: DataFrame, ids: DataFrame, column: str, max_bits: int) -> DataFrame:
-    """The rows whose ``doc_id`` is among a column's whole numbers, and a few more that a Bloom filter lets through."""
-    wanted = rows.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, column, "jaccard-wanted", max_bits))
-
-    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(wanted.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
-
-    out = materialise(arrow_map(rows, pick, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)), "jaccard-wanted")
-    wanted.unpersist()
-    return out
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, max_bits: int) -> DataFrame:
+    """The pairs (x, y, and what else they hold) that link.
 
+    Sets are made anew from the texts of those documents alone that stand in a pair, which a Bloom filter of
+    their ids picks while the texts are read.
+    """
+    names = pairs.columns
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"))
+    wanted = pairs.sparkSession.sparkContext.broadcast(bloom.member_filter(ids, "doc_id", "jaccard-wanted", max_bits))
 
-def _links(num: int, den: int, names: list[str]):
-    """For ``arrow_map``: the columns ``names`` of the pairs whose sets ``x_set`` and ``y_set`` link."""
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(wanted.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pack(_sets(batch, k))], names=["doc_id", "shingles"])
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = [reaches(a, b, required(len(a), len(b), num, den)) for a, b in zip(_arrays(batch.column("x_set")), _arrays(batch.column("y_set")), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(linked, pa.bool_()))
 
-    return check
-
-
-def _verify(pairs: DataFrame, active: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
-    """The pairs (x, y, and what else they hold) that link; only the sets of documents that stand in a pair shuffle."""
-    sets = _pick(active.select("doc_id", "shingles"), pairs.select(F.explode(F.array("x", "y")).alias("doc_id")), "doc_id", max_bits)
+    sets = materialise(arrow_map(docs, make, "doc_id long, shingles binary").where("length(shingles) > 0"), "jaccard-wanted")
     full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x")
     full = spread_join(full, sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_set")), "y", weigh=pairs)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    out = materialise(arrow_map(full.select(*pairs.columns, "x_set", "y_set"), _links(num, den, pairs.columns), schema).distinct(), "jaccard-verified")
+    out = materialise(arrow_map(full.select(*names, "x_set", "y_set"), check, schema).distinct(), "jaccard-verified")
+    wanted.unpersist()
     release(sets)
     return out
 
@@ -226,55 +222,56 @@ def near_duplicates(
     small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    first = materialise(docs.mapInArrow(_measure(k), "doc_id long, n long, sig binary, shingles binary, slot int, counts binary"), "jaccard-sets")
-    rows = materialise(first.where("sig is not null").select("doc_id", "n", "sig"), "jaccard-rows")
-    sets = first.where("n > 0 and doc_id is not null").select("doc_id", "n", "sig", "shingles")
-    classes = materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    known = docs.where("doc_id is not null")
+
+    first = materialise(docs.mapInArrow(_measure(k), "doc_id long, n long, sig binary, slot int, counts binary"), "jaccard-sets")
+    rows = first.where("sig is not null").select("doc_id", "n", "sig")
+    classes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     ranks = spark.sparkContext.broadcast(_ranks(first))
     first_ids = spark.sparkContext.broadcast(bloom.member_filter(classes, "rep", "jaccard-reps", max_bits))
 
-    def of_reps(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows but those of copies, save a few that the filter lets through and that link to their class."""
-        return batch.filter(pa.array(first_ids.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
-
-    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        short = [ranks.value.short(s, num, den) for s in _arrays(of_reps(batch).column("shingles"))]
-        return bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *short]))
+    def short_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Documents but copies, save a few that the filter lets through and that link to their class."""
+        batch = batch.filter(pa.array(first_ids.value.contains(bloom.hash_ids(batch.column("doc_id").to_numpy())), pa.bool_()))
+        sets = _sets(batch, k)
+        some = [r for r, s in enumerate(sets) if len(s)]
+        sets = [sets[r] for r in some]
+        marks = [[int(mix(s ^ salt).min().view(np.int64)) for salt in _SALTS] for s in sets]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(some, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pack([ranks.value.short(s, num, den) for s in sets]), pa.array(marks, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
+            names=["doc_id", "n", "tokens", "marks", "sketch"],
+        )
 
-    twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(sets.select("doc_id", "shingles"), hashes, bloom.PACKED), "jaccard", max_bits))
+    short = materialise(arrow_map(known, short_lists, "doc_id long, n long, tokens binary, marks array<long>, sketch binary"), "jaccard-short")
+    hashes = lambda batch: bloom.packed_rows(np.concatenate([np.zeros(0, np.uint64), *_arrays(batch.column("tokens"))]))
+    twice = spark.sparkContext.broadcast(bloom.twice_filter(arrow_map(short.select("tokens"), hashes, bloom.PACKED), "jaccard", max_bits))
 
     def keep_active(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Documents with enough shingles on short lists that may hold another document."""
-        batch = of_reps(batch)
-        full = _arrays(batch.column("shingles"))
-        every = [ranks.value.short(s, num, den) for s in full]
+        every = _arrays(batch.column("tokens"))
         hits = twice.value.contains(np.concatenate([np.zeros(0, np.uint64), *every]))
-        kept, rare, own, lead, marks, sketches = [], [], [], [], [], []
+        kept, rare, own, lead = [], [], [], []
         at = 0
-        for r, (t, s) in enumerate(zip(every, full, strict=True)):
-            n, hit = len(s), hits[at : at + len(t)]
+        for r, (t, n) in enumerate(zip(every, batch.column("n").to_pylist(), strict=True)):
+            hit = hits[at : at + len(t)]
             at += len(t)
             if int(hit.sum()) >= occurrences(least_partner(n, num, den), num, den):
                 kept.append(r)
                 rare.append(len(t) - int(hit.sum()))
                 own.append(t[hit])
                 lead.append(int(hit[: indexed(n, num, den)].sum()))
-                marks.append([int(mix(s ^ salt).min().view(np.int64)) for salt in _SALTS])
-                sketches.append(sketch(s))
         rest = batch.take(pa.array(kept, pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [rest.column("doc_id"), rest.column("n"), rest.column("shingles"), pa.array(rare, pa.int64()), pack(own), pa.array(lead, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n", "shingles", "rare", "tokens", "lead", "marks", "sketch"],
-        )
+        return pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("doc_id", "n", "marks", "sketch")), pa.array(rare, pa.int64()), pack(own), pa.array(lead, pa.int64())], names=["doc_id", "n", "marks", "sketch", "rare", "tokens", "lead"])
 
-    active = materialise(arrow_map(sets.select("doc_id", "n", "shingles"), keep_active, "doc_id long, n long, shingles binary, rare long, tokens binary, lead long, marks array<long>, sketch binary"), "jaccard-active")
-    release(first)
+    active = materialise(arrow_map(short, keep_active, "doc_id long, n long, marks array<long>, sketch binary, rare long, tokens binary, lead long"), "jaccard-active")
+    release(short)
     for sent in (twice, ranks, first_ids):
         sent.unpersist()
 
-    labels = _tie(active, num, den, max_bits)
+    verify = lambda pairs: _verify(pairs, known, k, num, den, max_bits)
+    labels = _tie(active, verify, num, den)
     candidates = _cross_candidates(active, labels, num, den)
-    links = _verify(candidates, active.select("doc_id", "shingles"), num, den, max_bits).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
+    links = verify(candidates).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
 
     release(active)
 
@@ -293,8 +290,8 @@ def near_duplicates(
 
 
 def _measure(k: int):
-    """For ``mapInArrow``: each document's set, and at the end the counts of the task's shingles in COUNTER_ROWS rows."""
-    names = ["doc_id", "n", "sig", "shingles", "slot", "counts"]
+    """For ``mapInArrow``: the size and digest of each document's set, and at the end the counts of the task's shingles in COUNTER_ROWS rows."""
+    names = ["doc_id", "n", "sig", "slot", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
@@ -305,13 +302,13 @@ def _measure(k: int):
                 where, times = np.unique(counter(np.concatenate(sets)), return_counts=True)
                 counts[where] += times.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pack(sets), none.cast(pa.int32()), none.cast(pa.binary())],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
                 names=names,
             )
         if counts.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, COUNTER_ROWS)]
             none = pa.nulls(COUNTER_ROWS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(COUNTER_ROWS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(COUNTER_ROWS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -338,36 +335,34 @@ def _ranks(first: DataFrame) -> Ranks:
     return Ranks(out)
 
 
-def _tie(active: DataFrame, num: int, den: int, max_bits: int) -> DataFrame:
+def _tie(active: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(doc_id, label): documents tied to leaders by verified links, in rounds until few leaders can be tied."""
 
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Pairs of a document and its leader that fit in size and whose sketches don't part them."""
+        n, m = batch.column("n").to_numpy(), batch.column("y_n").to_numpy()
+        marks = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in ("sketch", "y_sketch")]
+        fits = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (apart(*marks) <= n + m - 2 * (-(-num * (n + m) // (num + den))))
+        return batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
+
     labels = materialise(active.select("doc_id", F.col("doc_id").alias("label")).distinct(), "jaccard-labels")
     left = labels.count()
     for r in range(LEADER_ROUNDS):
-        marked = active.select("doc_id", "rare", F.col("marks")[r].alias("mark"))
+        marked = active.select("doc_id", "n", "rare", "sketch", F.col("marks")[r].alias("mark"))
         if r:
             marked = marked.join(labels.where("doc_id = label").select("doc_id"), "doc_id", "left_semi")
         marked = materialise(marked, "jaccard-marked")
-        leaders = marked.groupBy("mark").agg(F.min(F.struct("rare", "doc_id")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark", F.col("lead.doc_id").alias("y"))
-        leaders = materialise(leaders, "jaccard-leaders")
-        groups = spread_join(marked, leaders, "mark")
-        sets = _pick(active.select("doc_id", F.col("marks")[r].alias("mark"), "shingles"), groups, "doc_id", max_bits)
-        heads = _pick(sets.select("doc_id", "mark", "shingles"), leaders, "y", max_bits)
-        heads = heads.select(F.col("doc_id").alias("y"), "mark", F.col("shingles").alias("y_set")).join(leaders, ["y", "mark"]).dropDuplicates(["mark"])
-        met = spread_join(sets.select(F.col("doc_id").alias("x"), "mark", F.col("shingles").alias("x_set")), heads, "mark", weigh=sets.select("mark")).where("x <> y")
-        size = (F.length("x_set"), F.length("y_set"))
-        met = met.where((den * F.least(*size)) >= (num * F.greatest(*size))).select("x", "y", "x_set", "y_set")
-        tied = materialise(arrow_map(met, _links(num, den, ["x", "y"]), "x long, y long").groupBy("x").agg(F.min("y").alias("label")), "jaccard-tied")
-        tied = materialise(tied.join(leaders.select(F.col("y").alias("x")), "x", "left_anti"), "jaccard-tied")  # ids of several texts lead or follow, not both
-        if r:  # the filters may let through some that have a leader already
-            tied = materialise(tied.join(labels.where("doc_id = label").select(F.col("doc_id").alias("x")), "x", "left_semi"), "jaccard-tied")
-        changed = spread_join(labels, tied.select(F.col("x").alias("label"), F.col("label").alias("to")), "label", how="left").select("doc_id", F.coalesce("to", "label").alias("label"))
-        labels = materialise(changed, "jaccard-labels")
-        release(sets, marked)
-        fewer = tied.count()
-        if fewer <= LEAST_TIED * left:
+        leaders = marked.groupBy("mark").agg(F.min(F.struct("rare", "doc_id", "n", "sketch")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        leaders = materialise(leaders.select("mark", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("y_n"), F.col("lead.sketch").alias("y_sketch")), "jaccard-leaders")
+        met = spread_join(marked.withColumnRenamed("doc_id", "x"), leaders, "mark").where("x <> y").select("x", "y", "n", "y_n", "sketch", "y_sketch")
+        pairs = arrow_map(met, alike, "x long, y long").distinct()
+        pairs = materialise(pairs.join(leaders.select(F.col("y").alias("x")), "x", "left_anti"), "jaccard-pairs")  # ids of several texts lead or follow, not both
+        tied = verify(pairs).groupBy("x").agg(F.min("y").alias("to"))
+        labels = materialise(spread_join(labels, tied.withColumnRenamed("x", "label"), "label", how="left").select("doc_id", F.coalesce("to", "label").alias("label")), "jaccard-labels")
+        now = labels.where("doc_id = label").count()
+        if left - now <= LEAST_TIED * left:
             break
-        left -= fewer
+        left = now
     return labels
 
 

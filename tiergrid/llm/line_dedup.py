@@ -2,8 +2,8 @@
 
 Two Bloom filters (once-seen, twice-seen) pick the suspected repeats.  Only suspects shuffle, as
 SHA-256 digests with the document id: the least and greatest id of a digest confirm the repeat
-and name the document that keeps it.  Both are partial aggregates, so a line that stands in a third of
-all documents costs a task one row.
+and name the document that keeps it.  Both are partial aggregates, and the keeper of a line that stands in a third of
+all documents is sent to several tasks.  Of the texts only those that lose a line shuffle, picked by a filter of their ids.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import arrow_map, as_bytes, fields, materialise, small_batches
+from .common import arrow_map, as_bytes, fields, materialise, release, small_batches, spread_join
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -77,14 +78,25 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = materialise(arrow_map(known.select("doc_id", "text"), suspects, f"doc_id {kind}, key binary"), "lines-suspects")
     repeated = seen.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("key", "keeper")
-    lost = seen.join(repeated, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    lost = spread_join(seen, repeated, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    lost = materialise(lost, "lines-lost")
+    release(seen)
+    losers = spark.sparkContext.broadcast(bloom.member_filter(lost.select(F.xxhash64("doc_id").alias("h")), "h", "lines-losers", max_bits))
+
+    def may_lose(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array(losers.value.contains(bloom.hash_ids(batch.column("h").to_numpy())), pa.bool_())
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [drop_lines(t, gone, min_chars) for t, gone in zip(as_bytes(batch.column("text")), batch.column("lost").to_pylist(), strict=True)]
-        total, dropped, kept = zip(*rows, strict=True)
+        gone = batch.column("lost").to_pylist() if "lost" in batch.schema.names else [None] * len(batch)
+        rows = [drop_lines(t, g, min_chars) for t, g in zip(as_bytes(batch.column("text")), gone, strict=True)]
+        total, dropped, kept = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(c) for c in carry)],
             names=["doc_id", "n_lines", "n_dropped", "text", *carry],
         )
 
-    return arrow_map(docs.join(lost, "doc_id", "left"), rebuild, f"doc_id {kind}, n_lines long, n_dropped long, text string{fields(docs, carry)}")
+    schema = f"doc_id {kind}, n_lines long, n_dropped long, text string{fields(docs, carry)}"
+    marked = docs.withColumn("h", F.xxhash64("doc_id"))
+    whole = arrow_map(marked, lambda batch: rebuild(batch.filter(pc.invert(may_lose(batch)))), schema)
+    cut = arrow_map(marked, lambda batch: batch.filter(may_lose(batch)), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)).drop("h")
+    return whole.unionByName(arrow_map(cut.join(lost, "doc_id", "left"), rebuild, schema))

@@ -218,7 +218,11 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
     def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, texts = codec(file.value), as_bytes(batch.column("text"))
         keep = [not has_long(t, leaf) for t in texts]
-        return finish(batch.column("doc_id").filter(pa.array(keep, pa.bool_())), c.encode([t for t, k in zip(texts, keep, strict=True) if k]), c)
+        texts = [t for t, k in zip(texts, keep, strict=True) if k]
+        place = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # copies in a batch are encoded and decoded once
+        once = finish(pa.nulls(len(place), batch.column("doc_id").type), c.encode(list(place)), c)
+        full = once.take(pa.array([place[t] for t in texts], pa.int64()))
+        return full.set_column(0, "doc_id", batch.column("doc_id").filter(pa.array(keep, pa.bool_())))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Rows of documents with long pieces: finished ids (leaf null), or the text of a leaf."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, tidy
 
 #: Segments of the hash space, a power of two; also the most tasks that fill filters.
 SEGMENTS = 64
@@ -100,7 +100,7 @@ def hash_ids(ids: np.ndarray) -> np.ndarray:
 
 def member_filter(df: DataFrame, column: str, name: str, max_bits: int = MAX_BITS) -> TwiceFilter:
     """A filter of the whole numbers in a column: the once-seen filter of the pair."""
-    packed = df.select(column).distinct().mapInArrow(lambda batches: (packed_rows(hash_ids(b.column(0).to_numpy())) for b in batches), PACKED)
+    packed = df.select(column).distinct().mapInArrow(tidy(lambda batches: (packed_rows(hash_ids(b.column(0).to_numpy())) for b in batches)), PACKED)
     return twice_filter(packed, name, max_bits, once=True)
 
 
@@ -126,6 +126,6 @@ def twice_filter(packed: DataFrame, name: str, max_bits: int = MAX_BITS, once: b
                 names=["seg", "bits"],
             )
 
-    rows = packed.repartition(max(1, min(SEGMENTS, total // LEAST_HASHES)), "seg").select("seg", "once", "twice").mapInArrow(fill, "seg int, bits binary").collect()
+    rows = packed.repartition(max(1, min(SEGMENTS, total // LEAST_HASHES)), "seg").select("seg", "once", "twice").mapInArrow(tidy(fill), "seg int, bits binary").collect()
     release(packed)
     return TwiceFilter(bits, {r["seg"]: bytes(r["bits"]) for r in rows})

@@ -29,7 +29,7 @@ from .common import as_bytes, arrow_map, materialise, small_batches
 #: Longest piece, in bytes, that the library encodes at once, and the symbols of a leaf.
 LEAF = 4096
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: The tokenizer file's own pattern of pretokens, as it stands in the JSON text.  For pieces
 #: of ASCII and accented Latin-1 letters, which NFC leaves alone and which lower-case one to one, _PRETOKEN is the same.
@@ -57,7 +57,7 @@ class Codec:
             self.strings[i] = token
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self._text = text
         self._ranks: dict | None = None
         self._cache: dict[bytes, bytes] = {}
         self._pretokens: dict[str, bytes] = {}
@@ -115,11 +115,12 @@ class Codec:
     def _prepare(self) -> None:
         """Ranks of pairs of ids, and each token's first symbols."""
         self._ranks, self._symbols = {}, {}
-        joined = {a + b for a, b in self._merges}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(self._text)["model"]["merges"]]
+        joined = {a + b for a, b in merges}
         for token, i in self.ids.items():
             if token not in joined and token not in self.added:
                 self._symbols[i] = (i,)
-        for rank, (a, b) in enumerate(self._merges):
+        for rank, (a, b) in enumerate(merges):
             x, y, z = self.ids[a], self.ids[b], self.ids[a + b]
             self._ranks.setdefault((x, y), (rank, z))
             self._symbols.setdefault(z, self._symbols[x] + self._symbols[y])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_bytes, arrow_map, materialise, pack, release, small_batches, spread_join
+from .common import as_bytes, arrow_map, materialise, pack, release, small_batches, spread_join, tidy
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -224,7 +224,7 @@ def near_duplicates(
 
     known = docs.where("doc_id is not null")
 
-    first = materialise(docs.mapInArrow(_measure(k), "doc_id long, n long, sig binary, slot int, counts binary"), "jaccard-sets")
+    first = materialise(docs.mapInArrow(tidy(_measure(k)), "doc_id long, n long, sig binary, slot int, counts binary"), "jaccard-sets")
     rows = first.where("sig is not null").select("doc_id", "n", "sig")
     classes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     ranks = spark.sparkContext.broadcast(_ranks(first))
@@ -327,7 +327,7 @@ def _ranks(first: DataFrame) -> Ranks:
             most = np.uint64(2**32 - 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(v, most).astype(np.uint32).tobytes(), 1) for v in sums.values()], pa.binary())], names=["slot", "counts"])
 
-    rows = first.where("slot is not null").select("slot", "counts").repartition(COUNTER_ROWS, "slot").mapInArrow(add, "slot int, counts binary").collect()
+    rows = first.where("slot is not null").select("slot", "counts").repartition(COUNTER_ROWS, "slot").mapInArrow(tidy(add), "slot int, counts binary").collect()
     size = COUNTERS // COUNTER_ROWS
     out = np.zeros(COUNTERS, np.uint32)
     for row in rows:

@@ -13,7 +13,7 @@ import numpy as np
 _P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once; the tables of powers are as long.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -264,6 +266,55 @@ def test_html():
     assert html.extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_visibility_and_tables():
+    assert html.extract('<div style="visibility:hidden">a<b style="visibility: visible">b</b>c</div>d') == "b\nd"
+    assert html.extract("<details><summary>s</summary>no<p>no</details><details open><summary>t</summary>yes</details>") == "s\nt\nyes"
+    assert html.extract("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>") == "aa  b\n    c\nd   e"
+    assert html.extract("<table><tr><td colspan=2>aa<td>b<tr><td>c<td>d<td>e</table>") == "aa     b\nc   d  e"
+    wide = "w" * 90
+    assert html.extract(f"<table><tr><td>{wide}<td>x<tr><td>y<td>z</table>") == f"{wide}  x\n{'y'.ljust(60)}  z"
+    assert html.extract(f"<table><tr><td>y<td>z<tr><td>{wide}<td>x</table>") == f"{'y'.ljust(60)}  z\n{wide}  x"
+    assert html.extract("<table><tr><td colspan=999999999 rowspan=99999999999>a<td>b</table>") == "a  b"
+
+
+def test_html_tags_cost_their_length():
+    start = time.time()
+    cut = "<p>kept <a " + " ".join(f'x{i}="{i}"' for i in range(10_000))
+    assert html.extract(cut) == "kept" and html.extract(cut + ">more") == "kept more"
+    for part in ("<a ", "<a x='", '<a x="', "</", "<!--", "</script ", "<b =", "<script>", "< "):
+        html.extract("text " + part * 20_000)
+        html.extract("<script>" + part * 20_000)
+    assert time.time() - start < 10
+
+
+class Visible(HTMLParser):
+    """Words outside elements that don't show, found by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.off, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style", "title", "template")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style", "title", "template")
+
+    def handle_data(self, data):
+        self.words += [] if self.off else data.split()
+
+
+def test_html_keeps_all_words_of_the_pages(spark):
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in html.extract_pages(pages).collect():
+        other = Visible()
+        other.feed(source[r["page_id"]])
+        other.close()
+        squeezed = "".join(x for x in r["text"].split() if x != "-")
+        assert squeezed == "".join(x for x in other.words if x != "-")
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t"), (1, "", "t")], "page_id long, html string, text string")
     assert sorted((r["text"], r["n_lines"]) for r in html.extract_pages(df).collect()) == [("", 0), ("", 0), ("a", 1)]

@@ -34,9 +34,18 @@ ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "tr"}
 FENCE = frozenset("html body table td th caption".split())
 HEAD_ONLY = frozenset("head title meta link base style script template noscript".split())
 
-MARKUP = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>?|</[^A-Za-z][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*)>", re.S)
+#: What may follow ``<``.  No two alternatives of a tag's inside begin alike and none is tried again, so a tag costs its length.
+COMMENT = re.compile(r"!--(?:-?>|.*?--!?>|.*\Z)", re.S)
+BOGUS = re.compile(r"(?:[!?]|/(?![A-Za-z]))[^>]*>")
+TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)>")
+OPENS = re.compile(r"<[A-Za-z!?/]")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: The most columns and rows of a cell in the HTML standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+#: Columns are no wider than this; longer cells stick out.
+MAX_WIDTH = 60
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 MAX_DEPTH = 200
 
@@ -51,7 +60,8 @@ class Node:
 def parse(html: str) -> Node:
     """The tree under an ``html`` node: missing ends are implied, stray ends are dropped.
 
-    Elements nested deeper than MAX_DEPTH become siblings, which keeps their text.
+    Elements nested deeper than MAX_DEPTH become siblings, which keeps their text.  A tag that the page's end cuts
+    off is dropped, as the standard has it.
     """
     root = Node("html")
     body = Node("body")
@@ -74,14 +84,20 @@ def parse(html: str) -> Node:
             stack[-1].children.append(unescape(s) if "&" in s else s)
 
     while True:
-        m = MARKUP.search(html, at)
-        if not m:
+        opening = OPENS.search(html, at)
+        if not opening:
             text(html[at:])
             return root
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(html[at : opening.start()])
+        at = opening.start() + 1
+        m = COMMENT.match(html, at) or BOGUS.match(html, at)
+        if m:
+            at = m.end()
             continue
+        m = TAG.match(html, at)
+        if not m:
+            return root
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             if tag in ("html", "body"):
@@ -136,7 +152,7 @@ def parse(html: str) -> Node:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at) if tag != "plaintext" else None
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(html, at) if tag != "plaintext" else None
             inside = html[at : end.start()] if end else html[at:]
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
             at = end.end() if end else len(html)
@@ -154,15 +170,31 @@ def visible(node: Node) -> bool:
     return not (a.get("style") and UNSEEN.search(a["style"]))
 
 
+def hides(node: Node, inherited: bool) -> bool:
+    """Whether the node's own text is hidden; ``visibility`` is inherited, and an element inside may set it back."""
+    found = VISIBILITY.findall(node.attributes.get("style", "")) if node.attributes else []
+    return found[-1].lower() != "visible" if found else inherited
+
+
+def shown(node: Node) -> list:
+    """The children that may be rendered: of closed ``details`` the first summary alone."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
+
+
 class Lines:
     """Lines of text under construction; spaces collapse across inline elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, hidden: bool = False) -> None:
+        self.hidden = hidden
         self.done: list[str] = []
         self.now, self.space, self.gap = "", False, False
         self.prefix, self.marker = "", ""
 
     def inline(self, text: str) -> None:
+        if self.hidden:
+            return
         collapsed = SPACES.sub(" ", text)
         body = collapsed.strip(" ")
         if not body:
@@ -193,10 +225,23 @@ class Lines:
         self.gap = True
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "1")
+    return max(1, min(int(value[:9]), most)) if value.isascii() and value.isdigit() else 1
+
+
 def _table(node: Node, lines: Lines) -> None:
-    rows: list[list[list[str]]] = []
+    """A table with its cells aligned.  A cell stands in the first column that no cell from a row above reaches into."""
+    rows: list[list[tuple[int, list[str]]]] = []
+
+    def filled(children: list, hidden: bool) -> list[str]:
+        inner = Lines(hidden)
+        _render(children, inner)
+        inner.end()
+        return [x for x in inner.done if x]
 
-    def cells(parent: Node) -> None:
+    def cells(parent: Node, hidden: bool, below: dict[int, int]) -> None:
+        """``below`` has the columns that cells from above reach into, and for how many rows more."""
         for row in parent.children:
             if isinstance(row, str):
                 if row.strip():
@@ -205,44 +250,43 @@ def _table(node: Node, lines: Lines) -> None:
             elif not visible(row):
                 continue
             elif row.tag in ("thead", "tbody", "tfoot"):
-                cells(row)
-            elif row.tag == "tr":
-                out = []
-                for cell in row.children:
-                    inner = Lines()
-                    if isinstance(cell, str):
-                        if cell.strip():
-                            inner.inline(cell)
-                    elif visible(cell):
-                        _render(cell.children if cell.tag in ("td", "th") else [cell], inner)
-                    else:
+                cells(row, hides(row, hidden), {})  # cells don't reach out of their group
+            elif row.tag in ("tr", "td", "th"):
+                out, at, taken, dark = [], 0, dict(below), hides(row, hidden)
+                for column in list(below):
+                    below[column] -= 1
+                    if not below[column]:
+                        del below[column]
+                for cell in row.children if row.tag == "tr" else [row]:
+                    real = isinstance(cell, Node)
+                    if real and not visible(cell):
+                        continue
+                    found = filled(cell.children, hides(cell, dark)) if real and cell.tag in ("td", "th") else filled([cell], dark)
+                    if not real and not found:
                         continue
-                    inner.end()
-                    if isinstance(cell, Node) or inner.done:
-                        out.append([x for x in inner.done if x] or [""])
-                        span = cell.attributes.get("colspan", "1") if isinstance(cell, Node) else "1"
-                        out += [[""]] * (min(int(span), 50) - 1 if span.isdigit() else 0)
+                    while at in taken:
+                        at += 1
+                    out.append((at, found or [""]))
+                    wide, high = (_span(cell, "colspan", MAX_COLSPAN), _span(cell, "rowspan", MAX_ROWSPAN)) if real else (1, 1)
+                    if high > 1:
+                        below.update(dict.fromkeys(range(at, at + wide), high - 1))
+                    at += wide
                 rows.append(out)
-            elif row.tag in ("td", "th"):
-                inner = Lines()
-                _render(row.children, inner)
-                inner.end()
-                rows.append([[x for x in inner.done if x] or [""]])
             else:
                 _render([row], lines)
                 lines.end()
 
-    cells(node)
-    widths: list[int] = []
+    cells(node, lines.hidden, {})
+    widths: dict[int, int] = {}
     for row in rows:
-        for k, cell in enumerate(row):
-            wide = max(map(len, cell))
-            if k == len(widths):
-                widths.append(wide)
-            widths[k] = max(widths[k], min(wide, 60))
+        for column, cell in row:
+            widths[column] = max(widths.get(column, 0), min(max(map(len, cell)), MAX_WIDTH))
+    columns = sorted(widths)  # columns that no cell begins in take no room
     for row in rows:
-        for n in range(max(map(len, row), default=0)):
-            line = "  ".join((cell[n] if n < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)).rstrip()
+        held = dict(row)
+        last = max(held, default=-1)
+        for n in range(max(map(len, held.values()), default=0)):
+            line = "  ".join((held[c][n] if c in held and n < len(held[c]) else "").ljust(widths[c]) for c in columns if c <= last).rstrip()
             if line:
                 lines.put(line)
 
@@ -251,66 +295,78 @@ def _render(children: list, lines: Lines, ordered: list[int] | None = None) -> N
     for child in children:
         if isinstance(child, str):
             lines.inline(child)
-            continue
-        if not visible(child):
-            continue
-        tag = child.tag
-        if tag == "br":
-            if lines.now:
-                lines.end()
-            else:
-                lines.gap = bool(lines.done)
-        elif tag == "hr":
-            lines.apart()
-        elif tag == "img":
-            if child.attributes.get("alt"):
-                lines.inline(child.attributes["alt"])
-        elif tag == "input":
-            if child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") and child.attributes.get("value"):
-                lines.inline(child.attributes["value"])
-        elif tag == "table":
-            lines.apart()
-            _table(child, lines)
-            lines.gap = True
-        elif tag == "pre":
-            lines.apart()
-            for line in _plain(child).strip("\n").split("\n"):
-                lines.put(line.rstrip())
-            lines.gap = True
-        elif tag == "li":
-            lines.end()
-            kept, marker = lines.prefix, lines.marker
-            if ordered is not None:
-                value = child.attributes.get("value", "")
-                ordered[0] = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else ordered[0] + 1
-            lines.prefix, lines.marker = kept + " " * len(marker), f"{ordered[0]}. " if ordered is not None else "- "
-            _render(child.children, lines)
-            lines.end()
-            lines.prefix, lines.marker = kept, "" if not marker else marker
-        elif tag in ("ul", "ol", "menu", "dir"):
-            nested = bool(lines.prefix or lines.marker)
-            lines.end() if nested else lines.apart()
-            start = child.attributes.get("start", "")
-            _render(child.children, lines, [int(start) - 1 if re.fullmatch(r"-?[0-9]{1,9}", start) else 0] if tag == "ol" else None)
-            lines.end()
-            lines.gap |= not nested
-        elif tag in BLOCK:
-            far = tag in APART and not lines.marker
-            lines.apart() if far else lines.end()
-            kept = lines.prefix
-            if tag in ("dd", "blockquote"):
-                lines.prefix += "  "
-            _render(child.children, lines)
+        elif visible(child):
+            hidden, lines.hidden = lines.hidden, hides(child, lines.hidden)
+            _render_node(child, lines, ordered)
+            lines.hidden = hidden
+
+
+def _render_node(child: Node, lines: Lines, ordered: list[int] | None) -> None:
+    tag = child.tag
+    if tag == "br":
+        if lines.now:
             lines.end()
-            if tag in ("dd", "blockquote"):
-                lines.prefix = kept
-            lines.gap |= far
         else:
-            _render(child.children, lines, ordered if tag in ("span", "a") else None)
+            lines.gap = bool(lines.done)
+    elif tag == "hr":
+        lines.apart()
+    elif tag == "img":
+        if child.attributes.get("alt"):
+            lines.inline(child.attributes["alt"])
+    elif tag == "input":
+        if child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") and child.attributes.get("value"):
+            lines.inline(child.attributes["value"])
+    elif tag == "table":
+        lines.apart()
+        _table(child, lines)
+        lines.gap = True
+    elif tag == "pre":
+        lines.apart()
+        for line in _plain(child, lines.hidden).strip("\n").split("\n"):
+            lines.put(line.rstrip())
+        lines.gap = True
+    elif tag == "li":
+        lines.end()
+        kept, marker = lines.prefix, lines.marker
+        if ordered is not None:
+            value = child.attributes.get("value", "")
+            ordered[0] = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else ordered[0] + 1
+        lines.prefix, lines.marker = kept + " " * len(marker), f"{ordered[0]}. " if ordered is not None else "- "
+        _render(shown(child), lines)
+        lines.end()
+        lines.prefix, lines.marker = kept, "" if not marker else marker
+    elif tag in ("ul", "ol", "menu", "dir"):
+        nested = bool(lines.prefix or lines.marker)
+        lines.end() if nested else lines.apart()
+        start = child.attributes.get("start", "")
+        _render(shown(child), lines, [int(start) - 1 if re.fullmatch(r"-?[0-9]{1,9}", start) else 0] if tag == "ol" else None)
+        lines.end()
+        lines.gap |= not nested
+    elif tag in BLOCK:
+        far = tag in APART and not lines.marker
+        lines.apart() if far else lines.end()
+        kept = lines.prefix
+        if tag in ("dd", "blockquote"):
+            lines.prefix += "  "
+        _render(shown(child), lines)
+        lines.end()
+        if tag in ("dd", "blockquote"):
+            lines.prefix = kept
+        lines.gap |= far
+    else:
+        _render(shown(child), lines, ordered if tag in ("span", "a") else None)
 
 
-def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) if visible(c) else "" for c in node.children)
+def _plain(node: Node, hidden: bool) -> str:
+    out = []
+    for c in node.children:
+        if isinstance(c, str):
+            out.append("" if hidden else c)
+        elif c.tag == "br":
+            out.append("\n")
+        elif visible(c):
+            out.append(_plain(c, hides(c, hidden)))
+    return "".join(out)
 
 
 def extract(html: str) -> str:
@@ -318,6 +374,7 @@ def extract(html: str) -> str:
     lines = Lines()
     root = parse(html.replace("\r\n", "\n").replace("\r", "\n"))
     if visible(root):
+        lines.hidden = hides(root, False)
         _render(root.children, lines)
         lines.end()
     return "\n".join(lines.done)

@@ -258,6 +258,26 @@ def test_waterfill():
     assert mixing.waterfill([0, 0], [5, 2]) == [0, 0] and mixing.waterfill([], []) == []
 
 
+def test_substring_recall(spark):
+    """Passages of 50 to 90 words, one word in 25 edited, in documents of their own words; others share none."""
+    rng = random.Random(11)
+    own = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(n)]
+    passages = [own(rng.randrange(50, 91)) for _ in range(40)]
+    texts, holds = [], []
+    for i in range(160):
+        body = own(rng.randrange(20, 200))
+        if i % 2:
+            p = (i // 2) % 40
+            edited = [w if rng.random() > 0.04 else f"z{rng.randrange(999)}" for w in passages[p]]
+            at = rng.randrange(len(body))
+            body[at:at] = edited if i >= 80 else passages[p]
+            holds.append(i) if i >= 80 else None
+        texts.append(" ".join(body))
+    got = {r["doc_id"]: r["n_repeated"] for r in substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in holds) >= 0.95 * len(holds)
+    assert not any(n for i, n in got.items() if i not in holds)
+
+
 def test_html():
     assert html.extract("<title>t</title><p>a<p>b<ul><li>1<li>2</ul><script>x</script><p hidden>no") == "a\n\nb\n\n- 1\n- 2"
     assert html.extract("<table><tr><th>A<th>Bee<tr><td>1<td>2 3</table>") == "A  Bee\n1  2 3"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_bytes, arrow_map, materialise, pack, small_batches
+from .common import as_bytes, arrow_map, materialise, pack, release, small_batches, spread_join
 from .mixing import word_counts
 from .shingles import mix, runs, word_hashes
 
@@ -27,6 +27,7 @@ K, W = 6, 10
 #: Words of a passage; the share of its words that must align; words between seeds that a chain may bridge.
 MIN_WORDS, MIN_ALIGNED, MAX_GAP = 45, 0.8, 24
 GAP_COST = 0.25
+MISMATCH = 2
 
 
 def minimizers(kmers: np.ndarray) -> np.ndarray:
@@ -139,11 +140,23 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
+def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(words, agreeing ones) by which an end is extended: as far as a run pays, a word that differs costing MISMATCH agreeing ones."""
+    ends = np.flatnonzero((a == 0) | (b == 0))
+    n = int(ends[0]) if len(ends) else len(a)
+    same = a[:n] == b[:n]
+    gain = np.cumsum(np.where(same, 1, -MISMATCH))
+    if not n or gain.max() <= 0:
+        return 0, 0
+    best = int(gain.argmax()) + 1
+    return best, int(same[:best].sum())
+
+
 def align(chain: list[int], x: list[int], y: list[int], own: list[bytes], other: list[bytes]) -> tuple[int, int, int, int]:
     """(start, end, start in the other document, aligned words) of a chain.
 
     ``own`` and ``other`` hold the fingerprints from W words before each seed to W after it.  Ends are
-    extended word by word as long as the fingerprints agree.
+    extended word by word as ``extend`` does.
     """
     a = [np.frombuffer(own[i], np.uint8) for i in chain]
     b = [np.frombuffer(other[i], np.uint8) for i in chain]
@@ -158,12 +171,9 @@ def align(chain: list[int], x: list[int], y: list[int], own: list[bytes], other:
         half = [common(p[k - 1][W + K :][: min(W, g)], q[k - 1][W + K :][: min(W, h)]) for p, q, g, h in ((a, b, gx, gy),)][0]
         tail = common(a[k][max(0, W - max(0, gx - W)) : W], b[k][max(0, W - max(0, gy - W)) : W])
         aligned += half + tail + min(dx, dy, K)
-    left = right = 0
-    while left < W and a[0][W - 1 - left] and a[0][W - 1 - left] == b[0][W - 1 - left]:
-        left += 1
-    while right < W and a[-1][W + K + right] and a[-1][W + K + right] == b[-1][W + K + right]:
-        right += 1
-    return x[chain[0]] - left, x[chain[-1]] + K + right, y[chain[0]] - left, aligned + left + right
+    left, same_left = extend(a[0][W - 1 :: -1], b[0][W - 1 :: -1])
+    right, same_right = extend(a[-1][W + K :], b[-1][W + K :])
+    return x[chain[0]] - left, x[chain[-1]] + K + right, y[chain[0]] - left, aligned + same_left + same_right
 
 
 def passages(x: list[int], first: list[int], y: list[int], own: list[bytes], other: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
@@ -199,7 +209,8 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     Returns one row for each input row: ``doc_id``, ``n_words``, ``copy_of`` (the least id with the same text, else null),
     ``n_repeated`` (words in passages), ``first_doc`` (least earlier document, else null) and ``passages``, an array of
     (start, end, earlier, earlier_start) in words, ends exclusive.  A copy of an earlier text is one passage, whatever its
-    length.  Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.  Texts without words, null texts and rows with a null id have no
+    length.  A seed meets its first occurrence alone: a passage is named after the documents that first hold its seeds, perhaps
+    several, and pieces of it that lie further apart than they may are separate passages.  Words are compared by prints of seven bits.  Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.  Texts without words, null texts and rows with a null id have no
     passages; rows that share an id are one document.  Ids are whole numbers.  Extra columns are ignored.
     """
     spark = documents.sparkSession
@@ -249,9 +260,12 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     hits = materialise(hits, "passages-hits")
     ends = hits.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     shared = spark.sparkContext.broadcast(bloom.member_filter(ends, "h", "passages-shared", max_bits))
-    hits = arrow_map(hits, lambda batch: batch.filter(pa.array(shared.value.contains(bloom.hash_ids(batch.column("h").to_numpy())), pa.bool_())), "h long, doc_id long, place int, around binary")
+    every = hits
+    hits = arrow_map(every, lambda batch: batch.filter(pa.array(shared.value.contains(bloom.hash_ids(batch.column("h").to_numpy())), pa.bool_())), "h long, doc_id long, place int, around binary")
     anchors = hits.groupBy("h").agg(F.min(F.struct("doc_id", "place", "around")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", "first")
-    met = hits.join(anchors, "h").where("doc_id <> first.doc_id")
+    anchors, hits = materialise(anchors, "passages-anchors"), materialise(hits, "passages-shared-hits")
+    release(every)
+    met = spread_join(hits, anchors, "h").where("doc_id <> first.doc_id")
     met = met.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("place").alias("x"), F.col("first.doc_id").alias("d"), F.col("first.place").alias("y"), F.col("around").alias("own"), F.col("first.around").alias("other"))).alias("m"))
     met = met.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in ("x", "d", "y", "own", "other")))
 

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, arrow_map, materialise, small_batches
+from .common import as_bytes, arrow_map, give_back, materialise, small_batches
 
 #: Longest piece, in bytes, that the library encodes at once, and the symbols of a leaf.
 LEAF = 4096
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Pieces in a generation of those whose ids a worker remembers; it keeps two, and what is met again stays.
+REMEMBERED = 60_000
+#: Bytes of text that are cut into pieces at once.
+CUT_BYTES = 1 << 19
 
 #: The tokenizer file's own pattern of pretokens, as it stands in the JSON text.  For pieces
 #: of ASCII and accented Latin-1 letters, which NFC leaves alone and which lower-case one to one, _PRETOKEN is the same.
@@ -60,7 +62,9 @@ class Codec:
         self._text = text
         self._ranks: dict | None = None
         self._cache: dict[bytes, bytes] = {}
-        self._pretokens: dict[str, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._older_words: dict[str, bytes] = {}
         self._letters = {c: "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)} if self.tokenizer.pre_tokenizer else {}
         self._plain = _SPLIT in text and sys.byteorder == "little"
 
@@ -68,17 +72,22 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; no piece may be over LEAF."""
-        split = [t.split() for t in texts]
-        wanted = set().union(*split) if split else set()
-        if len(self._cache) > REMEMBERED:
-            self._cache = {}
-        if len(self._pretokens) > REMEMBERED:
-            self._pretokens = {}
-        for w in wanted:
-            if w not in self._cache:
-                self._cache[w] = self._piece(w)
-        get = self._cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out, start = [], 0
+        while start < len(texts):
+            end, size = start + 1, len(texts[start])
+            while end < len(texts) and size + len(texts[end]) <= CUT_BYTES:
+                size += len(texts[end])
+                end += 1
+            split = [t.split() for t in texts[start:end]]
+            for w in set().union(*split):
+                if w not in self._cache:
+                    self._cache[w] = self._older.get(w) or self._piece(w)
+            get = self._cache.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
+            if len(self._cache) > REMEMBERED:
+                self._cache, self._older = {}, self._cache
+            start = end
+        return out
 
     def _piece(self, piece: bytes) -> bytes:
         """Ids of a piece without white space."""
@@ -87,10 +96,13 @@ class Codec:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for word in _PRETOKEN.findall(text.lower()):
-            ids = self._pretokens.get(word)
+            ids = self._words.get(word) or self._older_words.get(word)
             if ids is None:
-                ids = self._pretokens[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(word.translate(self._letters))]).tobytes()
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word.translate(self._letters))]).tobytes()
+            self._words[word] = ids
             out.append(ids)
+        if len(self._words) > REMEMBERED:
+            self._words, self._older_words = {}, self._words
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -190,6 +202,7 @@ def codec(text: str) -> Codec:
     key = hash(text)
     if key not in _codecs:
         _codecs[key] = Codec(text)
+        give_back()
     return _codecs[key]
 
 

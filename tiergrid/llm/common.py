@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Documents in one Arrow batch; texts may be long, and a worker holds a batch at a time.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A key with more than one in so many rows is dealt to several tasks; so there are fewer such keys than this.
 HOT_SHARE = 256
 

@@ -124,12 +124,12 @@ def mix_sources(
     A null text has 0 words; documents without words take 0 copies.  The null source is a source of its
     own, after all others.  Rows that share an id are separate documents; equal rows draw
     the same rank and are told apart by their position among equals.  Reruns agree.  Clashing extra columns are
-    ignored, save those that ``carry`` names, which come back with their row.  An empty table gives an empty result.
+    ignored, save those that ``carry`` names, which come back with their row (the text as ``text``).  An empty table gives an empty result.
     """
     spark = documents.sparkSession
     small_batches(spark)
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(1e-9))
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), weight.alias("weight"), F.col(text_col).alias("text"), *carry)
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), weight.alias("weight"), F.col(text_col).alias("text"), *(c for c in carry if c != "text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "source", "weight")] + [pa.array(word_counts(batch.column("text"))), *(batch.column(c) for c in carry)], names=["doc_id", "source", "weight", "size", *carry])

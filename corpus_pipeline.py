@@ -1,7 +1,11 @@
 """The corpus pipeline: quality, line dedup, near duplicates, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``.  All but the last return the columns of ``documents``.
+stage's ``docs``.  All but the last return the columns of ``documents``, whatever others clash with their own names.
+
+An empty table gives an empty one at every stage.  A null or empty text is scored as the classifier scores texts without
+known terms, and goes at the line dedup if it gets there.  Rows with a null id are judged by their text, lose no line, stand in no group and are mixed
+and encoded like others.  Rows that share an id are one document to the line dedup and the join, and rows of their own elsewhere.
 """
 
 from __future__ import annotations
@@ -36,10 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "mix-rows")  # ids may be null or repeated
-    taken = mixing.mix_sources(rows, carry=("row",)).where("copies > 0").select("row", "copies")
-    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document as many times as the mix takes it; rows with a null or repeated id are documents of their own."""
+    taken = mixing.mix_sources(docs, carry=("text", "lang", "n_chars")).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce as fold
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import npsem
 from .errors import FeatureOperationError
@@ -36,13 +35,25 @@ REDUCERS = {
 RUNNING = {"add": F.sum, "multiply": F.product, "maximum": F.max, "minimum": F.min, "logical_and": F.bool_and, "logical_or": F.bool_or, "bitwise_and": F.bit_and, "bitwise_or": F.bit_or, "bitwise_xor": F.bit_xor}
 
 
+#: The same for whole numbers, which keep their type.
+WHOLE = {"min": F.min, "max": F.max, "minimum": F.min, "maximum": F.max}
+
+
+def _element(df: DataFrame) -> T.DataType:
+    kind = df.schema["value"].dataType
+    return kind.elementType if isinstance(kind, T.ArrayType) else kind
+
+
 def aggregate(df: DataFrame, how: str, axis: int | None = None, where: Column | None = None, initial: float | None = None, by: list[str] | None = None, keepdims: bool = False, width: int | None = None) -> DataFrame:
     """Reduce a feature to ``result``, over all elements (axis None), over nodes (0) or in each node (1).
 
     Scalar features take axis None or 0.  For arrays, axis 0 gives an array over components; with their ``width`` it is one
     aggregate of that many columns, otherwise components are exploded.  An empty min or max raises when read.
     """
-    function = REDUCERS[how]
+    kind = _element(df)
+    function = WHOLE.get(how, REDUCERS[how]) if isinstance(kind, T.IntegralType) else REDUCERS[how]
+    if isinstance(kind, T.FloatType) and how in ("sum", "add", "mean", "multiply", "min", "max", "minimum", "maximum"):
+        function = lambda c, wide=function: wide(c).cast("float")
     if where is not None:
         df = df.where(where)
     vector = df.schema["value"].dataType.typeName() == "array"
@@ -52,7 +63,7 @@ def aggregate(df: DataFrame, how: str, axis: int | None = None, where: Column |
         if initial is not None:
             c = {"sum": c + initial, "add": c + initial, "multiply": c * initial, "min": F.least(c, F.lit(float(initial))), "max": F.greatest(c, F.lit(float(initial)))}[how]
         elif how in ("min", "max", "minimum", "maximum"):
-            c = F.coalesce(c, F.raise_error(F.lit(f"{how} of no elements")).cast("double"))
+            c = F.coalesce(c, F.raise_error(F.lit(f"{how} of no elements")).cast(kind if isinstance(kind, (T.IntegralType, T.FloatType)) else "double"))
         return F.array(c) if keepdims else c
 
     if axis == 1:
@@ -76,7 +87,10 @@ def aggregate(df: DataFrame, how: str, axis: int | None = None, where: Column |
 def accumulate(df: DataFrame, how: str = "add") -> DataFrame:
     """The running value in the order of pos, in each molecule."""
     w = Window.partitionBy("mol_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("mol_id", "pos", RUNNING[how](F.col("value")).over(w).alias("result"))
+    result = RUNNING[how](F.col("value")).over(w)
+    if how in ("minimum", "maximum") and isinstance(_element(df), T.FractionalType):
+        result = F.when(F.bool_or(F.isnan("value")).over(w), float("nan")).otherwise(result)
+    return df.select("mol_id", "pos", result.alias("result"))
 
 
 def reduceat(df: DataFrame, offsets: list[int], how: str = "add") -> DataFrame:
@@ -106,7 +120,3 @@ def shape(df: DataFrame) -> tuple[int, ...]:
         return (df.count(),)
     row = df.agg(F.count("*").alias("n"), F.max(F.size("value")).alias("d")).first()
     return row["n"], row["d"] or 0
-
-
-def all_of(columns: list[Column]) -> Column:
-    return fold(lambda a, b: a & b, columns)

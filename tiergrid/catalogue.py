@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import aggregate as agg
 from . import bindings, codec, npsem, structure
+from .feature import Feature
 from .molset import csr
 from .view import View
 
@@ -274,9 +275,9 @@ def edge_src_dst(spark, d):
     return bindings.g(spark, d, edges=True).get_container("atom")["follow"].select("eid", "src", "dst")
 
 
-@query(G_SQL + "SELECT eid, src, dst, value FROM fol WHERE eid >= 100 AND eid < 200 AND value <> 'O'")
+@query(G_SQL + "SELECT eid, src, dst, value FROM fol WHERE value <> 'O'")
 def edge_getitem(spark, d):
-    return bindings.follow(spark, d).where("eid >= 100 and eid < 200 and value <> 'O'").select("eid", "src", "dst", "value")
+    return Feature(bindings.g(spark, d, edges=True).get_container("atom")["follow"])[C("value") != "O"].df.select("eid", "src", "dst", "value")
 
 
 @query("SELECT count(*) AS n, max(len(embedding))::INT AS width FROM embeddings")
@@ -331,6 +332,34 @@ def floor_mod(spark, d):
     return bindings.g(spark, d).atoms.joined().select("idx", U["floor_divide"](k, F.lit(5)).alias("q"), U["mod"](k, F.lit(5)).alias("r"))
 
 
+@query("SELECT c_custkey AS idx, floor(c_acctbal / 7.5) AS q, floor(c_acctbal / -7.5) AS nq, (c_acctbal > 1000.5) AS gt FROM customer")
+def floor_mod_float(spark, d):
+    k = bindings.g(spark, d).atoms.feature("c_acctbal")
+    parts = [(k // 7.5).df.select("idx", C("value").alias("q")), (k // -7.5).df.select("idx", C("value").alias("nq")), (k > 1000.5).select(C("pos").alias("idx"), C("result").alias("gt"))]
+    return parts[0].join(parts[1], "idx").join(parts[2], "idx")
+
+
+@query("SELECT c_custkey AS idx, c_nationkey = 0 AS nan, c_nationkey = 1 AS inf, CASE WHEN c_nationkey > 1 THEN floor(c_acctbal) END AS fl, CASE WHEN c_nationkey > 1 THEN ceil(c_acctbal) END AS ce, CASE WHEN c_nationkey > 1 THEN trunc(c_acctbal) END AS tr FROM customer")
+def rounding_nan(spark, d):
+    odd = F.when(C("c_nationkey") == 0, float("nan")).when(C("c_nationkey") == 1, float("inf")).otherwise(C("c_acctbal"))
+    rows = bindings.g(spark, d).atoms.joined().select("idx", "c_nationkey", U["floor"](odd).alias("fl"), U["ceil"](odd).alias("ce"), U["trunc"](odd).alias("tr"))
+    finite = lambda c: F.when(U["isfinite"](C(c)), C(c)).alias(c)
+    return rows.select("idx", (F.isnan("fl") & F.isnan("ce") & F.isnan("tr")).alias("nan"), (U["isinf"](C("fl")) & U["isinf"](C("ce")) & U["isinf"](C("tr"))).alias("inf"), finite("fl"), finite("ce"), finite("tr"))
+
+
+@query("SELECT min(9007199254740993 + o_orderkey) AS lo, max(9007199254740993 + o_orderkey) AS hi, count(*) FILTER (WHERE 9007199254740993 + o_orderkey = 9007199254740994) AS same FROM orders")
+def minmax_long(spark, d):
+    big = Feature(bindings.table(spark, d, "orders").select(F.lit(0).cast("long").alias("mol_id"), C("o_orderkey").alias("pos"), C("o_orderkey").alias("idx"), C("o_orderkey").alias("value"))) + 9007199254740993
+    same = (big == 9007199254740994).agg(F.count_if("result").alias("same"))
+    return big.min().select(C("result").alias("lo")).join(big.max().select(C("result").alias("hi"))).join(same)
+
+
+@query("SELECT c_custkey AS idx, (c_nationkey * 3 - 5) * (c_nationkey + 1) AS value FROM customer")
+def feature_operators(spark, d):
+    k = bindings.g(spark, d).atoms.feature("c_nationkey")
+    return ((k * 3 - 5) * (1 + k)).df.select("idx", "value")
+
+
 @query("SELECT c_custkey AS idx, floor((c_nationkey - 12) / -7.0)::BIGINT AS q, (c_nationkey - 12 + 7 * floor((c_nationkey - 12) / -7.0))::BIGINT AS r FROM customer")
 def divmod(spark, d):
     q, r = U["divmod"](C("c_nationkey") - 12, F.lit(-7))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from enum import Enum
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import FeatureKeyError, FeatureOperationError, IndexInvalidError, IndexMismatchError, IndexOutOfBoundsError, StructureLevelError
@@ -164,6 +164,10 @@ class MolSet:
         """Tables never change, so a copy shares them; metadata is copied one level deep."""
         return MolSet(*self.containers.values(), dict(self.metadata))
 
+    @property
+    def index_table(self) -> IndexTable:
+        return IndexTable(self)
+
     def view(self, level: str) -> View:
         from .view import View
 
@@ -193,6 +197,44 @@ class MolSet:
         return f"<MolSet with {a} atoms, {r} residues, and {c} chains>"
 
 
+class IndexTable:
+    """The parents of one molecule's atoms and residues, and moves between its levels.
+
+    Built from lists on the driver, or over a set's own tables (``MolSet.index_table``), where nothing is collected.
+    """
+
+    def __init__(self, mol: MolSet) -> None:
+        self.mol = mol
+
+    @classmethod
+    def from_parents(cls, spark: SparkSession, atom_to_res: list[int], res_to_chain: list[int], n_chain: int | None = None) -> IndexTable:
+        """Parents may be without children; ``n_chain`` is by default one more than the last chain named."""
+        for name, parents in (("atom_to_res", atom_to_res), ("res_to_chain", res_to_chain)):
+            if not len(parents) or any(isinstance(p, (list, tuple)) or int(p) < 0 for p in parents):
+                raise IndexInvalidError(f"{name} must be one-dimensional, not empty and not negative")
+        if max(atom_to_res) >= len(res_to_chain):
+            raise IndexOutOfBoundsError("atom_to_res points outside the residues")
+        n_chain = max(res_to_chain) + 1 if n_chain is None else n_chain
+        if n_chain <= max(res_to_chain):
+            raise IndexOutOfBoundsError("res_to_chain points outside the chains")
+        atoms = [(0, i, int(r), int(res_to_chain[r]), i) for i, r in enumerate(atom_to_res)]
+        residues = [(0, i, int(c), i) for i, c in enumerate(res_to_chain)]
+        make = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+        return cls(MolSet.from_tables(make(atoms, (*KEYS[Level.ATOM], "id")), make(residues, (*KEYS[Level.RESIDUE], "id")), make([(0, i, i) for i in range(n_chain)], (*KEYS[Level.CHAIN], "id"))))
+
+    def convert(self, indices: list[int], source: str, target: str) -> DataFrame:
+        """(mol_id, pos, idx): the target level's indices for those of the source, in order; the same level gives them back."""
+        return self.mol.view(source).new(indices).to(target).df
+
+    def children(self, level: str) -> DataFrame:
+        """For each residue its atoms, or for each chain its residues, as ``csr`` gives them."""
+        above, below, key = {Level.RESIDUE: (Level.RESIDUE, Level.ATOM, "residue_idx"), Level.CHAIN: (Level.CHAIN, Level.RESIDUE, "chain_idx")}[Level.of(level)]
+        return csr(self.mol.containers[below].nodes, key, self.mol.containers[above].nodes)
+
+    def copy(self) -> IndexTable:
+        return IndexTable(self.mol.copy())
+
+
 class CifMolSet(MolSet):
     """The preset of crystallographic files: names of features by level, and typed metadata."""
 

@@ -105,8 +105,58 @@ def _truth(c: Column) -> Column:
     return F.when(F.isnan(_d(c)), True).otherwise(_d(c) != 0)
 
 
+def _floor(a: Column) -> Column:
+    """Spark's floor is a whole number; doubles from 2**53 on, infinities and NaN are their own floor."""
+    return F.when(F.abs(_d(a)) < 2.0**53, _d(F.floor(_d(a)))).otherwise(_d(a))
+
+
+def _ceil(a: Column) -> Column:
+    return F.when(F.abs(_d(a)) < 2.0**53, _d(F.ceil(_d(a)))).otherwise(_d(a))
+
+
+def fmod(a: Column, b: Column) -> Column:
+    """Over floats: the sign of the dividend, NaN for a zero divisor or an infinite dividend."""
+    a, b = _d(a), _d(b)
+    return F.when((b == 0) | F.isnan(a) | F.isnan(b) | (F.abs(a) == INF), NAN).when(F.abs(b) == INF, a).otherwise(a % F.nullif(b, F.lit(0.0)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _turns(m: Column, b: Column) -> Column:
+    return (m != 0) & ~F.isnan(m) & ((m < 0) != (b < 0))
+
+
+def float_remainder(a: Column, b: Column) -> Column:
+    """Over floats: the sign of the divisor, NaN for a zero divisor; an infinite divisor of the other sign is the result."""
+    b = _d(b)
+    return _let(fmod(a, b), lambda m: F.when(_turns(m, b), F.when(F.abs(b) == INF, b).otherwise(m + b)).when(m == 0, copysign(m, b)).otherwise(m))
+
+
+def float_floor_divide(a: Column, b: Column) -> Column:
+    """Over floats: the floor of the quotient, by way of the remainder; as division for a zero divisor."""
+    a, b = _d(a), _d(b)
+
+    def rounded(q: Column) -> Column:
+        return F.when(q == 0, F.when((a < 0) != (b < 0), F.lit(-0.0)).otherwise(F.lit(0.0))).otherwise(_let(_floor(q), lambda n: F.when(q - n > 0.5, n + 1).otherwise(n)))
+
+    safe = F.nullif(b, F.lit(0.0))
+    whole = _let(fmod(a, b), lambda m: F.when(F.isnan(m), NAN).otherwise(_let((a - m) / safe - F.when(_turns(m, b), 1.0).otherwise(0.0), rounded)))
+    return F.when(b == 0, divide(a, b)).otherwise(whole)
+
+
+def whole_power(a: Column, b: Column) -> Column:
+    """Over whole numbers, exact; a negative exponent raises, and so does overflow."""
+    raised = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(b, F.lit(64)), F.lit(1)).cast("int")), F.lit(1).cast("long"), lambda s, _: s * a.cast("long"))
+    small = F.when(b == 0, F.lit(1).cast("long")).when(a.isin(0, 1), a.cast("long")).when(a == -1, F.when(b % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).cast("long"))
+    refuse = F.raise_error(F.lit("Integers to negative integer powers are not allowed.")).cast("long")
+    return F.when(b < 0, refuse).otherwise(F.coalesce(small, raised))
+
+
 def trunc(a: Column) -> Column:
-    return F.when(F.isnan(_d(a)) | (F.abs(_d(a)) == INF), _d(a)).when(_d(a) < 0, _d(F.ceil(_d(a)))).otherwise(_d(F.floor(_d(a))))
+    return F.when(_d(a) < 0, _ceil(a)).otherwise(_floor(a))
 
 
 def modf(a: Column) -> tuple[Column, Column]:
@@ -211,7 +261,7 @@ UFUNCS: dict[str, Any] = {
     "exp": lambda a: F.exp(_d(a)), "exp2": lambda a: F.pow(F.lit(2.0), _d(a)), "expm1": lambda a: F.expm1(_d(a)), "log": _log(F.ln), "log2": _log(F.log2), "log10": _log(F.log10), "log1p": _log1p, "logaddexp": logaddexp, "logaddexp2": logaddexp2,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "arcsin": F.asin, "asin": F.asin, "arccos": F.acos, "acos": F.acos, "arctan": F.atan, "atan": F.atan, "arctan2": F.atan2, "atan2": F.atan2,
     "arcsinh": F.asinh, "asinh": F.asinh, "arccosh": F.acosh, "acosh": F.acosh, "arctanh": F.atanh, "atanh": F.atanh, "hypot": F.hypot, "degrees": F.degrees, "rad2deg": F.degrees, "radians": F.radians, "deg2rad": F.radians,
-    "floor": lambda a: _d(F.floor(_d(a))), "ceil": lambda a: _d(F.ceil(_d(a))), "trunc": trunc, "rint": lambda a: F.rint(_d(a)), "modf": modf, "frexp": frexp, "ldexp": lambda a, b: _d(a) * F.pow(F.lit(2.0), _d(b)), "nextafter": nextafter, "spacing": spacing,
+    "floor": _floor, "ceil": _ceil, "trunc": trunc, "rint": lambda a: F.rint(_d(a)), "modf": modf, "frexp": frexp, "ldexp": lambda a, b: _d(a) * F.pow(F.lit(2.0), _d(b)), "nextafter": nextafter, "spacing": spacing,
     "maximum": _nan_wins(F.greatest), "minimum": _nan_wins(F.least), "fmax": _nan_loses(F.greatest), "fmin": _nan_loses(F.least),
     "equal": _cmp("=="), "not_equal": _cmp("!="), "less": _cmp("<"), "less_equal": _cmp("<="), "greater": _cmp(">"), "greater_equal": _cmp(">="),
     "logical_and": lambda a, b: _truth(a) & _truth(b), "logical_or": lambda a, b: _truth(a) | _truth(b), "logical_xor": lambda a, b: _truth(a) != _truth(b), "logical_not": lambda a: ~_truth(a),
@@ -224,3 +274,30 @@ UFUNCS: dict[str, Any] = {
 }
 #: Ufuncs whose result is a plain array, not a feature.
 PLAIN = frozenset("equal not_equal less less_equal greater greater_equal logical_and logical_or logical_xor logical_not".split())
+
+
+#: Ufuncs for which whole numbers, or floats, need a rule of their own.
+WHOLE: dict[str, Any] = {
+    "power": whole_power, "pow": whole_power, "maximum": F.greatest, "minimum": F.least, "fmax": F.greatest, "fmin": F.least, "floor": _same, "ceil": _same, "trunc": _same, "square": lambda a: a * a,
+    "equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b,
+    "fmod": lambda a, b: F.coalesce(a % F.nullif(b, F.lit(0)), F.lit(0)), "floor_divide": lambda a, b: whole_floor_divide(a, b), "divmod": lambda a, b: (whole_floor_divide(a, b), remainder(a, b)),
+}
+FLOATS: dict[str, Any] = {
+    "floor_divide": float_floor_divide, "remainder": float_remainder, "mod": float_remainder, "fmod": fmod, "divmod": lambda a, b: (float_floor_divide(a, b), float_remainder(a, b)),
+}
+
+
+def whole_floor_divide(a: Column, b: Column) -> Column:
+    """Over whole numbers, exact: the quotient without its remainder, 0 for a zero divisor."""
+    return F.coalesce(F.call_function("div", a - remainder(a, b), F.nullif(b, F.lit(0))), F.lit(0)).cast("long")
+
+
+def ufunc(name: str, kinds: list[T.DataType]) -> Any:
+    """The ufunc for operands of these types."""
+    if name not in UFUNCS:
+        raise FeatureOperationError(f"no ufunc {name!r}")
+    if all(isinstance(k, T.IntegralType) for k in kinds):
+        return WHOLE.get(name, UFUNCS[name])
+    if any(isinstance(k, T.FractionalType) for k in kinds):
+        return FLOATS.get(name, UFUNCS[name])
+    return UFUNCS[name]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .errors import FeatureKeyError, FeatureOperationError, IndexInvalidError
+from .errors import FeatureKeyError, FeatureOperationError, IndexInvalidError, IndexMismatchError
 from .molset import KEYS, Container, Level, MolSet
 from .view import View
 
@@ -93,6 +93,10 @@ def concat(mols: list[MolSet]) -> MolSet:
     """One molecule from several sets of one molecule each; the metadata is a copy of the first's."""
     if not mols:
         raise ValueError("nothing to concatenate")
+    for m in mols:
+        ends = m.containers[Level.CHAIN].nodes.agg(F.min("mol_id").alias("a"), F.max("mol_id").alias("b")).first()
+        if ends["a"] != ends["b"]:
+            raise IndexMismatchError("a set of several molecules: make it one with merge() first")
     sizes = [[len(m.containers[lv]) for lv in Level] for m in mols]
     before = [[sum(s[k] for s in sizes[:i]) for k in range(3)] for i in range(len(mols))]
     offsets = {Level.ATOM: lambda b: (b[0], b[1], b[2]), Level.RESIDUE: lambda b: (b[1], b[2]), Level.CHAIN: lambda b: (b[2],)}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import npsem
 from .errors import IndexInvalidError, IndexOutOfBoundsError, ViewOperationError
+from .feature import Feature
 from .molset import Container, Level, MolSet
 
 UP = {(Level.ATOM, Level.RESIDUE): "residue_idx", (Level.ATOM, Level.CHAIN): "chain_idx", (Level.RESIDUE, Level.CHAIN): "chain_idx"}
@@ -78,6 +79,10 @@ class View:
             return self.crop(container.edges[key])
         return self.joined().select("mol_id", "pos", "idx", F.col(key).alias("value"))
 
+    def feature(self, key: str) -> Feature:
+        """The feature as a value with NumPy's operators."""
+        return Feature(self.get_feature(key))
+
     def __getattr__(self, key: str) -> DataFrame:
         if key.startswith("_"):
             raise AttributeError(key)

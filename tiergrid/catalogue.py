@@ -42,11 +42,7 @@ def query(sql: str | None = None):
 
 
 def ids(v: View) -> DataFrame:
-    return v.df.select("mol_id", "pos", "idx")
-
-
-def members(v: View) -> DataFrame:
-    return v.df.select("mol_id", "idx")
+    return v.dense().df.select("mol_id", "pos", "idx")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND c_mktsegment <> 'BUILDING'")
@@ -59,42 +55,42 @@ def entry(spark, d):
 # filters
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE c_mktsegment = 'BUILDING'")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE c_mktsegment = 'BUILDING'")
 def select_eq(spark, d):
     return ids(bindings.g(spark, d).atoms.select(c_mktsegment="BUILDING"))
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def select_in(spark, d):
     return ids(bindings.g(spark, d).atoms.select(c_mktsegment=["BUILDING", "MACHINERY"]))
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE c_mktsegment = 'BUILDING' AND r IN (1, 3, 5, 7)")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE c_mktsegment = 'BUILDING' AND r IN (1, 3, 5, 7)")
 def select_and(spark, d):
     return ids(bindings.g(spark, d).atoms.select(c_mktsegment="BUILDING", c_nationkey=[1, 3, 5, 7]))
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE c_mktsegment = 'BUILDING' AND idx IN (SELECT idx FROM fends WHERE value = 'F')")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE c_mktsegment = 'BUILDING' AND idx IN (SELECT idx FROM fends WHERE value = 'F')")
 def select_edge(spark, d):
     return ids(bindings.g(spark, d, edges=True).atoms.select(c_mktsegment="BUILDING").select(follow="F"))
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE idx IN (SELECT idx FROM fends WHERE value IN ('F', 'P'))")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE idx IN (SELECT idx FROM fends WHERE value IN ('F', 'P'))")
 def select_edge_in(spark, d):
     return ids(bindings.g(spark, d, edges=True).atoms.select(follow=["F", "P"]))
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE c_mktsegment = 'MACHINERY' AND r = 4 AND idx IN (SELECT idx FROM fends WHERE value = 'O')")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE c_mktsegment = 'MACHINERY' AND r = 4 AND idx IN (SELECT idx FROM fends WHERE value = 'O')")
 def select_mixed(spark, d):
     return ids(bindings.g(spark, d, edges=True).atoms.select(c_mktsegment="MACHINERY", follow="O", c_nationkey=4))
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE c_acctbal > 5000")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE c_acctbal > 5000")
 def mask_index(spark, d):
     return ids(bindings.g(spark, d).atoms[U["greater"](C("c_acctbal"), F.lit(5000))])
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE (c_acctbal > 5000) <> (c_mktsegment = 'BUILDING')")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE (c_acctbal > 5000) <> (c_mktsegment = 'BUILDING')")
 def mask_logical(spark, d):
     both = U["logical_xor"]((C("c_acctbal") > 5000).cast("int"), (C("c_mktsegment") == "BUILDING").cast("int"))
     return ids(bindings.g(spark, d).atoms.where(both))
@@ -135,12 +131,12 @@ def mol_counts(spark, d):
 # hops
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, r::BIGINT AS idx FROM cust WHERE c_mktsegment = 'BUILDING'")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, r::BIGINT AS idx FROM cust WHERE c_mktsegment = 'BUILDING'")
 def up_atoms_residues(spark, d):
     return ids(bindings.g(spark, d).atoms.select(c_mktsegment="BUILDING").to_residues())
 
 
-@query(G_SQL + "SELECT 0::BIGINT AS mol_id, min(idx) AS pos, r::BIGINT AS idx FROM cust WHERE c_mktsegment = 'BUILDING' GROUP BY r")
+@query(G_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY min(idx)) - 1 AS pos, r::BIGINT AS idx FROM cust WHERE c_mktsegment = 'BUILDING' GROUP BY r")
 def up_atoms_residues_unique(spark, d):
     return ids(bindings.g(spark, d).atoms.select(c_mktsegment="BUILDING").residues)
 
@@ -150,7 +146,7 @@ def up_residues_chains(spark, d):
     return ids(bindings.g(spark, d).residues.to_chains())
 
 
-@query("SELECT 0::BIGINT AS mol_id, min(n_nationkey)::BIGINT AS pos, n_regionkey::BIGINT AS idx FROM nation GROUP BY n_regionkey")
+@query("SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY min(n_nationkey)) - 1 AS pos, n_regionkey::BIGINT AS idx FROM nation GROUP BY n_regionkey")
 def up_residues_chains_unique(spark, d):
     return ids(bindings.g(spark, d).residues.chains)
 
@@ -160,7 +156,7 @@ def up_atoms_chains(spark, d):
     return ids(bindings.m(spark, d).atoms.to_chains())
 
 
-@query(M_SQL + "SELECT mol_id, min(idx) AS pos, chain_idx AS idx FROM ato GROUP BY mol_id, chain_idx")
+@query(M_SQL + "SELECT mol_id, row_number() OVER (PARTITION BY mol_id ORDER BY min(idx)) - 1 AS pos, chain_idx AS idx FROM ato GROUP BY mol_id, chain_idx")
 def up_atoms_chains_unique(spark, d):
     return ids(bindings.m(spark, d).atoms.chains)
 
@@ -201,42 +197,42 @@ def _ab(spark, d):
 AB_SQL = G_SQL.rstrip() + ",\na AS (SELECT idx FROM cust WHERE c_mktsegment = 'BUILDING'), b AS (SELECT idx FROM cust WHERE c_acctbal > 5000)\n"
 
 
-@query(M_SQL + "SELECT mol_id, min(idx) AS pos, residue_idx AS idx FROM ato GROUP BY mol_id, residue_idx")
+@query(M_SQL + "SELECT mol_id, row_number() OVER (PARTITION BY mol_id ORDER BY min(idx)) - 1 AS pos, residue_idx AS idx FROM ato GROUP BY mol_id, residue_idx")
 def unique(spark, d):
     return ids(bindings.m(spark, d).atoms.to_residues().unique())
 
 
-@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM a UNION ALL SELECT 0, idx + (SELECT max(idx) + 1 FROM a), idx FROM b")
+@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY s, idx) - 1 AS pos, idx FROM (SELECT 0 AS s, idx FROM a UNION ALL SELECT 1, idx FROM b)")
 def view_concat(spark, d):
     a, b = _ab(spark, d)
     return ids(a + b)
 
 
-@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, idx FROM a UNION SELECT 0, idx FROM b")
+@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx NOT IN (SELECT idx FROM a), idx) - 1 AS pos, idx FROM cust WHERE idx IN (SELECT idx FROM a) OR idx IN (SELECT idx FROM b)")
 def union(spark, d):
     a, b = _ab(spark, d)
-    return members(a | b)
+    return ids(a | b)
 
 
-@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM a WHERE idx IN (SELECT idx FROM b)")
+@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM a WHERE idx IN (SELECT idx FROM b)")
 def intersect(spark, d):
     a, b = _ab(spark, d)
     return ids(a & b)
 
 
-@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM a WHERE idx NOT IN (SELECT idx FROM b)")
+@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM a WHERE idx NOT IN (SELECT idx FROM b)")
 def difference(spark, d):
     a, b = _ab(spark, d)
     return ids(a - b)
 
 
-@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, idx FROM cust WHERE (idx IN (SELECT idx FROM a)) <> (idx IN (SELECT idx FROM b))")
+@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx NOT IN (SELECT idx FROM a), idx) - 1 AS pos, idx FROM cust WHERE (idx IN (SELECT idx FROM a)) <> (idx IN (SELECT idx FROM b))")
 def symdiff(spark, d):
     a, b = _ab(spark, d)
-    return members(a ^ b)
+    return ids(a ^ b)
 
 
-@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, idx AS pos, idx FROM cust WHERE idx NOT IN (SELECT idx FROM a)")
+@query(AB_SQL + "SELECT 0::BIGINT AS mol_id, row_number() OVER (ORDER BY idx) - 1 AS pos, idx FROM cust WHERE idx NOT IN (SELECT idx FROM a)")
 def invert(spark, d):
     return ids(~_ab(spark, d)[0])
 
@@ -560,6 +556,19 @@ def index_csr(spark, d):
     return csr(mol.get_container("atom").nodes, "residue_idx", mol.get_container("residue").nodes).select("mol_id", "parent", "start", "end")
 
 
+@query(M_SQL + "SELECT re.mol_id, re.idx AS parent, coalesce(string_agg(ato.idx::VARCHAR, ',' ORDER BY ato.idx), '') AS children FROM re LEFT JOIN ato ON ato.mol_id = re.mol_id AND residue_idx = re.idx GROUP BY re.mol_id, re.idx")
+def index_children(spark, d):
+    mol = bindings.m(spark, d)
+    found = csr(mol.get_container("atom").nodes, "residue_idx", mol.get_container("residue").nodes)
+    return found.select("mol_id", "parent", F.array_join(F.transform(F.coalesce("children", F.expr("cast(array() as array<long>)")), lambda c: c.cast("string")), ",").alias("children"))
+
+
+@query(G_SQL + "SELECT (eid + k * (SELECT max(eid) + 1 FROM fol))::BIGINT AS eid, (src + k * (SELECT count(*) FROM customer))::BIGINT AS src, (dst + k * (SELECT count(*) FROM customer))::BIGINT AS dst, value FROM fol, (VALUES (0), (1), (2)) t(k)")
+def edge_concat3(spark, d):
+    c = bindings.g(spark, d, edges=True).get_container("atom")
+    return structure.concat_containers([c, c, c]).edges["follow"].select("eid", "src", "dst", "value")
+
+
 @query("SELECT n_nationkey::BIGINT AS idx, n_name FROM nation")
 def mol_copy(spark, d):
     return bindings.g(spark, d).copy().get_container("residue").nodes.select("idx", "n_name")

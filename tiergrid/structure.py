@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import FeatureKeyError, FeatureOperationError, IndexInvalidError, IndexMismatchError
 from .molset import KEYS, Container, Level, MolSet
-from .view import View
+from .view import View, running
 
 
 def with_features(view: View, features: dict[str, Column | DataFrame]) -> MolSet:
@@ -104,18 +104,25 @@ def concat(mols: list[MolSet]) -> MolSet:
     return MolSet(*parts, dict(mols[0].metadata))
 
 
+def _offsets(counts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(mol_id, offsets): for each molecule what the molecules before it hold."""
+    rows = counts.withColumnRenamed("mol_id", "pos").withColumn("mol_id", F.lit(0))
+    for count, offset in names.items():
+        rows = running(rows, F.col(count)).withColumnRenamed("before", offset)
+    return rows.select(F.col("pos").alias("mol_id"), *names.values())
+
+
 def merge(mol: MolSet) -> MolSet:
     """All molecules of a set as one, in the order of ``mol_id``: concat without a driver-side list.
 
-    Offsets come from one row a molecule, so any number of molecules costs one broadcast-sized table.
+    Offsets come from one row a molecule, summed by ranges of ``mol_id``, so no task sees all molecules.
     """
-    order = Window.orderBy("mol_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a molecule
     counts = None
     for lv, name in zip(Level, ("a", "r", "c"), strict=True):
         n = mol.containers[lv].nodes.groupBy("mol_id").agg(F.count("*").alias(f"n_{name}"))
         counts = n if counts is None else counts.join(n, "mol_id", "full")
     counts = counts.na.fill(0)
-    shift = counts.select("mol_id", *(F.coalesce(F.sum(f"n_{k}").over(order), F.lit(0)).alias(f"o_{k}") for k in "arc"))
+    shift = _offsets(counts, {f"n_{k}": f"o_{k}" for k in "arc"})
     own = {Level.ATOM: {"idx": "o_a", "residue_idx": "o_r", "chain_idx": "o_c"}, Level.RESIDUE: {"idx": "o_r", "chain_idx": "o_c"}, Level.CHAIN: {"idx": "o_c"}}
     parts = []
     for lv in Level:
@@ -124,7 +131,7 @@ def merge(mol: MolSet) -> MolSet:
         edges = {}
         for key, e in c.edges.items():
             per = e.groupBy("mol_id").agg((F.max("eid") + 1).alias("n"))
-            eids = per.select("mol_id", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("o_e"))
+            eids = _offsets(per, {"n": "o_e"})
             o = own[lv]["idx"]
             edges[key] = e.join(shift, "mol_id").join(eids, "mol_id").select(F.lit(0).cast("long").alias("mol_id"), (F.col("eid") + F.col("o_e")).cast("long").alias("eid"), (F.col("src") + F.col(o)).cast("long").alias("src"), (F.col("dst") + F.col(o)).cast("long").alias("dst"), "value")
         parts.append(Container(lv, nodes, edges))

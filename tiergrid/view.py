@@ -20,6 +20,25 @@ from .molset import Container, Level, MolSet
 UP = {(Level.ATOM, Level.RESIDUE): "residue_idx", (Level.ATOM, Level.CHAIN): "chain_idx", (Level.RESIDUE, Level.CHAIN): "chain_idx"}
 
 
+#: Places that one task counts through.
+RANGE = 1 << 20
+
+
+def running(df: DataFrame, weight: Column) -> DataFrame:
+    """``df`` with ``before``: the weights of the rows of its molecule that have a smaller ``pos``.
+
+    A molecule is cut into ranges of places; sums of whole ranges, a row a range, give the offsets, so that no task
+    sees a whole molecule however large it is.
+    """
+    cut = df.withColumn("range_at", F.floor(F.col("pos") / RANGE))
+    sums = cut.groupBy("mol_id", "range_at").agg(F.sum(weight).alias("range_sum"))
+    ahead = Window.partitionBy("mol_id").orderBy("range_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("mol_id", "range_at", F.coalesce(F.sum("range_sum").over(ahead), F.lit(0)).alias("range_before"))
+    inside = Window.partitionBy("mol_id", "range_at").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    return cut.withColumn("before", own).join(sums, ["mol_id", "range_at"]).withColumn("before", (F.col("before") + F.col("range_before")).cast("long")).drop("range_at", "range_before")
+
+
 class View:
     """An ordered selection; ``unique`` and ``full`` say what is known of it, and spare work."""
 
@@ -40,8 +59,7 @@ class View:
         """The same view with pos = 0 .. n - 1 in each molecule."""
         if self._dense:
             return self
-        w = Window.partitionBy("mol_id").orderBy("pos")
-        df = self.df.select("mol_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "idx")
+        df = running(self.df, F.lit(1)).select("mol_id", F.col("before").alias("pos"), "idx")
         return self._with(df, unique=self._unique, full=self._full, dense=True)
 
     def __len__(self) -> int:
@@ -251,11 +269,14 @@ class View:
             key = UP[level, self.level]
             below = self.mol.containers[level].nodes
             children = below.select("mol_id", F.col("idx").cast("long").alias("child"), F.col(key).cast("long").alias("idx"), *(["residue_idx"] if level == Level.ATOM and self.level == Level.CHAIN else []))
-            rows = self.df.join(children, ["mol_id", "idx"])
-            order = ["pos", *(["residue_idx"] if "residue_idx" in children.columns else []), "child"]
-            # few parents, many children: a window over each molecule gives the new order
-            w = Window.partitionBy("mol_id").orderBy(*order)
-            rows = rows.select("mol_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("child").alias("idx"))
+            order = [*(["residue_idx"] if "residue_idx" in children.columns else []), "child"]
+            # a child's place: the children of the elements before its parent, and its rank under the parent
+            within = Window.partitionBy("mol_id", "idx").orderBy(*order)
+            ranked = children.withColumn("rank", F.row_number().over(within) - 1)
+            counts = children.groupBy("mol_id", "idx").agg(F.count(F.lit(1)).alias("held"))
+            parents = running(self.df.join(counts, ["mol_id", "idx"]), F.col("held")).select("mol_id", "idx", "before")
+            rows = parents.join(ranked, ["mol_id", "idx"])
+            rows = rows.select("mol_id", (F.col("before") + F.col("rank")).cast("long").alias("pos"), F.col("child").alias("idx"))
             out = View(self.mol, level, rows, unique=self._unique, dense=True)
         return out.unique() if unique else out
 

@@ -535,6 +535,25 @@ def test_pii_spans_are_whole():
         assert pii.added_spans(text, [], field) == field.best(text, tokens)
 
 
+def test_votes_equal_a_plain_search():
+    rng = random.Random(2)
+    make = lambda kind: " ".join(rng.choice(("the of and house tree" if kind else "zq xk !! 77 qq").split()) + str(rng.randrange(9)) for _ in range(rng.randrange(1, 40))).encode()
+    kinds = [i % 2 for i in range(120)]
+    labelled = [make(k) for k in kinds] + [b"one text twice"] * 40
+    voter = quality.Voter(quality.terms(labelled).astype(np.float16).astype(np.float32), np.array(kinds + [1, 0] * 20, float))
+    texts = [make(i % 2) for i in range(300)] + [b"", b"one text twice"]
+    scores = voter.scores(texts)
+    project = lambda t: quality.unit(quality.terms([t]) @ voter.space)[0]
+    for text, score in zip(texts, scores, strict=True):
+        near = sorted(((round(float(project(text) @ v), 5), y) for v, y in zip(voter.vectors, voter.labels, strict=True)), reverse=True)
+        last = near[quality.NEIGHBOURS - 1][0]
+        votes = [(max(c, 0) ** quality.POWER, y) for c, y in near if c >= last - 2e-5]
+        total = sum(w for w, _ in votes)
+        want = sum(w * y for w, y in votes) / total if total > 1e-12 else voter.prior
+        assert abs(score - want) < 0.02
+    assert [voter.scores([t])[0] for t in texts[:20]] == scores[:20].tolist()
+
+
 def test_added_spans_recall():
     """Made-up sentences that the field wasn't trained on, and forms written by hand."""
     field, rng = pii.train(), np.random.default_rng(99)

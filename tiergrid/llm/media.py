@@ -15,8 +15,8 @@ from .common import as_bytes, arrow_map, small_batches
 
 #: A payload is padded with bytes 255 to a positive multiple of this; a row of pixels holds as much.
 UNIT = 576
-#: Rows of pixels in an image; a longer payload is stored as several images, one after another.
-MAX_ROWS = 4096
+#: Rows of pixels in an image, as many as the format holds; only a longer payload is stored as several images, one after another.
+MAX_ROWS = 1 << 14
 
 
 def pad(data: bytes) -> bytes:

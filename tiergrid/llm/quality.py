@@ -3,7 +3,8 @@
 A text's terms are hashed byte pairs, weighed by the root of their share and by how rare they are, and
 one term for words that repeat the word before.  A bounded sample of labelled texts gives the space (its
 leading singular vectors) and the labelled vectors, which are broadcast.  Every document is compared
-with every labelled vector, in blocks, and the nearest vote by a power of their cosine.
+with every labelled vector, in blocks, and the nearest vote by a power of their cosine, rounded to five places; those that
+tie with the last of the nearest vote too.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ NEIGHBOURS = 31
 POWER = 8
 REPEAT_WEIGHT = 2.0
 THRESHOLD = 0.7
+#: Texts that are compared at once.
+BLOCK = 256
 
 
 def terms(texts: list[bytes]) -> np.ndarray:
@@ -65,14 +68,18 @@ class Voter:
         if not len(self.labels):
             return np.full(len(texts), self.prior)
         out = np.empty(len(texts))
-        for start in range(0, len(texts), 256):
-            cosine = unit(terms(texts[start : start + 256]) @ self.space) @ self.vectors.T
-            k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** POWER
-            total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1)
-            out[start : start + 256] = np.where(total > 1e-12, vote / np.maximum(total, 1e-12), self.prior)
+        k = min(NEIGHBOURS, len(self.labels))
+        for start in range(0, len(texts), BLOCK):
+            rows = np.zeros((BLOCK, (1 << TERM_BITS) + 1), np.float32)  # whole blocks, so that a text's cosines don't hang on its neighbours in the batch
+            held = terms(texts[start : start + BLOCK])
+            rows[: len(held)] = held
+            cosine = np.round(unit(rows @ self.space) @ self.vectors.T, 5)[: len(held)]
+            least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k]
+            row, near = np.nonzero(cosine >= least[:, None])  # all that tie with the last one vote too
+            weight = np.maximum(cosine[row, near], 0).astype(np.float64) ** POWER
+            total = np.bincount(row, weight, minlength=len(held))
+            vote = np.bincount(row, weight * self.labels[near], minlength=len(held))
+            out[start : start + BLOCK] = np.where(total > 1e-12, vote / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -80,12 +87,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Fit on at most ``max_labelled`` labelled documents, those with the least hash of their id.
 
     ``labels`` holds an id and a label 0 or 1; null ids and labels are left out, several labels of an id
-    are averaged.  Their terms are computed on the executors.
+    are averaged, and of documents that share an id the least text counts.  Their terms are computed on the executors.
     """
     small_batches(documents.sparkSession)
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
     chosen = chosen.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = terms(as_bytes(batch.column("text"))).astype(np.float16)

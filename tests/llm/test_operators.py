@@ -453,6 +453,49 @@ def test_webp_palette(colours):
     assert (webp.decode(lossless(9, 3, lambda w: literals(w, packed, True), [put])) == table[index]).all()
 
 
+def test_webp_groups():
+    tokens = np.random.default_rng(8).integers(0, 2, (4, 8))
+
+    def body(w):  # blocks of 4 x 4: the left one's code has samples 7 and 9, the right one's only 200
+        w.put(0, 1)
+        w.put(1, 1)
+        w.put(0, 3)
+        literals(w, np.array([[[0, 0, 0, 0], [1, 0, 0, 0]]], np.uint8), False)
+        for samples in ((7, 9), (200,)):
+            webp.put_lengths(w, [int(i in samples) for i in range(280)])
+            for sample in (1, 2, 255, 0):
+                webp.put_lengths(w, [int(i == sample) for i in range(256 if sample else 40)])
+        for row in tokens.tolist():
+            for bit in row[:4]:
+                w.put(bit, 1)
+
+    want = np.zeros((4, 8, 4), np.uint8) + np.array([200, 1, 2, 255], np.uint8)
+    want[:, :4, 0] = np.where(tokens[:, :4], 9, 7)
+    assert (webp.decode(lossless(8, 4, body)) == want).all()
+
+
+def test_webp_writer():
+    rng = random.Random(9)
+    passage = " ".join(words(rng, 400)).encode()
+    for payload in (b"", b"a", b"ab" * 9000, passage[:1500], passage * 3, passage * 40, " ".join(words(rng, 20000)).encode(), bytes(rng.randrange(256) for _ in range(60000)), bytes(rng.choice(b"abcd") for _ in range(30000))):
+        pixels = np.frombuffer(media.pad(payload), np.uint8).reshape(-1, 144, 4)
+        stored = webp.encode(pixels)
+        assert (webp.decode(stored) == pixels).all()
+        assert len(stored) < len(media.pad(payload)) * 1.05
+    assert len(media.store(media.pad(passage * 40))) * 5 < len(passage) * 40, "repeats are copied, from each of the four places within a pixel"
+
+
+def test_webp_codes_are_short():
+    rng = np.random.default_rng(10)
+    for n in (3, 40, 256):
+        counts = (1e5 / np.arange(1, n + 1) ** rng.uniform(0, 3)).astype(int)
+        lengths = webp.choose_lengths(counts, 10)
+        used = counts > 0
+        assert lengths.max() <= 10 and (lengths[used] > 0).all() and (2.0 ** -lengths[used]).sum() == 1
+        share = counts[used] / counts.sum()
+        assert (share * lengths[used]).sum() < max(1, -(share * np.log2(share)).sum()) + 1
+
+
 def test_media(docs, texts):
     got, rows = by_id(media.media_columns(docs))
     assert len(rows) == len(texts) + 1

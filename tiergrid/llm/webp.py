@@ -1,10 +1,12 @@
-"""Lossless WebP: a full decoder to pixel arrays, and a writer whose prefix codes have one length.
+"""Lossless WebP: a full decoder to pixel arrays, and a writer with prefix codes, back-references, a colour cache and a palette.
 
 Pixels are arrays (height, width, 4) of 8-bit samples in the order green, red, blue, alpha, as they stand in the stream.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 SIGNATURE = 0x2F
@@ -50,6 +52,10 @@ class BitReader:
         first = self.at >> 3
         return (int.from_bytes(self.data[first : first + 8], "little") >> (self.at & 7)) & ((1 << bits) - 1)
 
+    def span(self, start: int, bits: int) -> int:
+        first = start >> 3
+        return (int.from_bytes(self.data[first : first + (bits + 15) // 8], "little") >> (start & 7)) & ((1 << bits) - 1)
+
     def get(self, bits: int) -> int:
         value = self.peek(bits)
         self.at += bits
@@ -58,74 +64,105 @@ class BitReader:
         return value
 
 
+def _backwards(bits: int) -> np.ndarray:
+    """All numbers of so many bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+_BACKWARDS = [_backwards(n) for n in range(16)]
+
+
+def assign(lengths: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code, first bit lowest, and length of each symbol of a prefix code; a single symbol has no bits."""
+    lengths = np.asarray(lengths)
+    codes, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.uint64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        longest = int(lengths[used[-1]])
+        shares = 1 << (longest - lengths[used])
+        if shares.sum() != 1 << longest:
+            raise ValueError("prefix code isn't complete")
+        codes[used], sizes[used] = _BACKWARDS[longest][np.cumsum(shares) - shares], lengths[used]
+    return codes, sizes
+
+
 def canonical(lengths: list[int] | np.ndarray) -> list[tuple[int, int, int]]:
     """(symbol, length, code with its first bit lowest) of the symbols in use."""
-    used = sorted((int(n), s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return [(used[0][1], 0, 0)]
-    out, code, last = [], 0, 0
-    for n, s in used:
-        code <<= n - last
-        last = n
-        out.append((s, n, int(format(code, f"0{n}b")[::-1], 2)))
-        code += 1
-    if used and code != 1 << last:
-        raise ValueError("prefix code isn't complete")
-    return out
+    codes, sizes = assign(lengths)
+    return [(int(s), int(sizes[s]), int(codes[s])) for s in np.flatnonzero(lengths)]
 
 
 class PrefixCode:
+    """``entries[bits]`` is ``symbol << 4 | length`` of the code that the next ``longest`` bits begin with."""
+
     def __init__(self, lengths: list[int] | np.ndarray) -> None:
-        self.codes = canonical(lengths)
-        if not self.codes:
-            self.codes = [(0, 0, 0)]
-        self.longest = max(n for _, n, _ in self.codes)
-        self.uniform = all(n == self.longest for _, n, _ in self.codes)
-        self.highest = max(s for s, _, _ in self.codes)
-        self._table: list | None = None
-        self._by_code: np.ndarray | None = None
-
-    def by_code(self) -> np.ndarray:
-        """For a code of one length up to 8: the symbol of each code."""
-        if self._by_code is None:
-            self._by_code = np.zeros(256, np.uint8)
-            for s, _, c in self.codes:
-                self._by_code[c] = s
-        return self._by_code
+        lengths = np.asarray(lengths)
+        used = np.flatnonzero(lengths)
+        if len(used) < 2:
+            self.longest, self.table = 0, (used[:1] if len(used) else np.zeros(1, np.int64)) << 4
+        else:
+            used = used[np.argsort(lengths[used], kind="stable")]
+            sizes = lengths[used]
+            self.longest = int(sizes[-1])
+            shares = 1 << (self.longest - sizes)
+            if shares.sum() != 1 << self.longest:
+                raise ValueError("prefix code isn't complete")
+            self.table = np.repeat(used << 4 | sizes, shares)[_BACKWARDS[self.longest]]
+        self.mask = (1 << self.longest) - 1
 
     def read(self, r: BitReader) -> int:
-        if not self.longest:
-            return self.codes[0][0]
-        if self._table is None:
-            self._table = [None] * (1 << self.longest)
-            for s, n, c in self.codes:
-                for high in range(1 << (self.longest - n)):
-                    self._table[c | high << n] = (s, n)
-        s, n = self._table[r.peek(self.longest)]
-        r.get(n)
-        return s
+        entry = int(self.table[r.peek(self.longest)])
+        r.get(entry & 15)
+        return entry >> 4
+
+
+class Group:
+    """The codes of a pixel's channels and of distances.
 
+    ``lists`` has for green, red, blue and alpha the entries ``sample << place in the pixel << 6 | length``, so that those of a
+    literal add up to its pixel and its length; entries of other green symbols are ``~(symbol << 6 | length)``.
+    """
 
-#: Groups of prefix codes read lately: alphabet sizes and first bits -> (bits, their value, codes).
-_groups: dict[tuple, list[tuple[int, int, list]]] = {}
+    def __init__(self, codes: list[PrefixCode]) -> None:
+        self.lists: list[list[int]] = []
+        self.masks = [c.mask for c in codes[:4]]
+        self.distance = codes[4]
+        for code, place in zip(codes, (8, 16, 0, 24), strict=False):
+            symbols, sizes = code.table >> 4, code.table & 15
+            entries = symbols << (place + 6) | sizes
+            self.lists.append((entries if self.lists else np.where(symbols < 256, entries, ~(symbols << 6 | sizes))).tolist())
 
 
-def read_group(r: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
+#: Groups read lately: (alphabet sizes, bits, their value, group).
+_groups: list[tuple[tuple[int, ...], int, int, Group]] = []
+
+
+def read_group(r: BitReader, sizes: tuple[int, ...]) -> Group:
     """The prefix codes of a group; the same bits read again give the codes read before."""
-    key = (sizes, r.peek(32))
-    first, shift = r.at >> 3, r.at & 7
-    for n, value, codes in _groups.get(key, ()):
-        if (int.from_bytes(r.data[first : first + (n + 15) // 8], "little") >> shift) & ((1 << n) - 1) == value:
+    for known, n, value, group in _groups:
+        if known == sizes and r.span(r.at, n) == value:
+            r.get(0)
             r.at += n
-            return codes
+            return group
     start = r.at
-    codes = [read_code(r, n) for n in sizes]
-    n = r.at - start
-    if len(_groups) > 64:
-        _groups.clear()
-    if len(known := _groups.setdefault(key, [])) < 8:
-        known.append((n, (int.from_bytes(r.data[first : first + (n + 15) // 8], "little") >> shift) & ((1 << n) - 1), codes))
-    return codes
+    codes: list[PrefixCode] = []
+    for i, symbols in enumerate(sizes):
+        if codes and symbols == sizes[i - 1] and r.span(r.at, n) == bits:
+            r.at += n
+            codes.append(codes[-1])
+            continue
+        first = r.at
+        codes.append(read_code(r, symbols))
+        n = r.at - first
+        bits = r.span(first, n)
+    group = Group(codes)
+    _groups.insert(0, (sizes, r.at - start, r.span(start, r.at - start), group))
+    del _groups[4:]
+    return group
 
 
 def read_code(r: BitReader, symbols: int) -> PrefixCode:
@@ -141,20 +178,29 @@ def read_code(r: BitReader, symbols: int) -> PrefixCode:
         of_lengths[place] = r.get(3)
     code = PrefixCode(of_lengths)
     left = 2 + r.get(2 + 2 * r.get(3)) if r.get(1) else symbols
+    entries, mask, data, place = code.table.tolist(), code.mask, r.data, r.at
     at, before = 0, 8
     while at < symbols and left:
         left -= 1
-        s = code.read(r)
+        x = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        entry = entries[x & mask]
+        n, s = entry & 15, entry >> 4
+        place += n
         if s < 16:
             lengths[at] = s
             at += 1
             before = s or before
             continue
-        value, times = (before, 3 + r.get(2)) if s == 16 else (0, 3 + r.get(3) if s == 17 else 11 + r.get(7))
+        bits, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        times = least + (x >> n & ((1 << bits) - 1))
+        place += bits
         if at + times > symbols:
             raise ValueError("code lengths run over")
-        lengths[at : at + times] = [value] * times
+        if s == 16:
+            lengths[at : at + times] = [before] * times
         at += times
+    r.at = place
+    r.get(0)
     return PrefixCode(lengths)
 
 
@@ -165,11 +211,6 @@ def _extra(r: BitReader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << bits) + r.get(bits) + 1
 
 
-def _argb(p: np.ndarray) -> int:
-    g, red, b, a = map(int, p)
-    return a << 24 | red << 16 | g << 8 | b
-
-
 def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image; only the main one may have several groups of prefix codes."""
     cache_bits = r.get(4) if r.get(1) else 0
@@ -182,67 +223,66 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     cache = 1 << cache_bits if cache_bits else 0
     sizes = (ALPHABETS[0] + cache, *ALPHABETS[1:])
     codes = [read_group(r, sizes) for _ in range(groups)]
-    n = width * height
-    if place is None and all(c.uniform for c in codes[0][:4]) and codes[0][GREEN].highest < 256:
-        return _read_even(r, codes[0], n).reshape(height, width, 4)
-    out = np.zeros((n, 4), np.uint8)
-    held = [0] * cache
-    noted = at = 0
+    return _read_pixels(r, codes, place, shift, width, height, cache_bits)
+
+
+def cache_slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (argb.astype(np.uint64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
+
+
+def _read_pixels(r: BitReader, groups: list[Group], place: np.ndarray | None, shift: int, width: int, height: int, cache_bits: int) -> np.ndarray:
+    """Literals, cache symbols and copies, symbol by symbol; ``place`` has the group of each block of the image."""
+    n, data, p = width * height, r.data, r.at
+    pixels = array("I", bytes(4 * n))  # alpha, red, green, blue from the highest byte, as the colour cache hashes them
+    held, down = [0] * (1 << cache_bits), 32 - cache_bits
+    number = int.from_bytes
+    at = noted = 0
     while at < n:
-        group = codes[place[at // width >> shift, at % width >> shift]] if place is not None else codes[0]
-        s = group[GREEN].read(r)
-        if s < 256:
-            out[at] = (s, group[RED].read(r), group[BLUE].read(r), group[ALPHA].read(r))
-            at += 1
-            continue
-        while cache and noted < at:
-            x = _argb(out[noted])
-            held[(CACHE_FACTOR * x & 0xFFFFFFFF) >> (32 - cache_bits)] = x
-            noted += 1
-        if s >= 256 + 24:
-            x = held[s - 280]
-            out[at] = (x >> 8 & 255, x >> 16 & 255, x & 255, x >> 24)
-            at += 1
-            continue
-        length = _extra(r, s - 256)
-        distance = _extra(r, group[4].read(r))
-        if distance > 120:
-            distance -= 120
-        else:
-            x, y = NEAR[distance - 1]
-            distance = max(1, x + y * width)
-        if distance > at or at + length > n:
-            raise ValueError("a back-reference points outside")
-        while length:  # doubles what is there if it overlaps
-            part = min(length, distance)
-            out[at : at + part] = out[at - distance : at - distance + part]
-            at, length = at + part, length - part
-    return out.reshape(height, width, 4)
-
-
-def _read_even(r: BitReader, group: list[PrefixCode], n: int) -> np.ndarray:
-    """Literals whose codes have one length a channel, so that each pixel has its place in the stream."""
-    sizes = [c.longest for c in group[:4]]
-    total = sum(sizes)
-    out = np.empty((n, 4), np.uint8)
-    if not total:
-        out[:] = [c.codes[0][0] for c in group[:4]]
-        return out
-    if r.at + n * total > len(r.data) * 8:
-        raise ValueError("the stream ends early")
-    first = r.at >> 3
-    raw = np.frombuffer(r.data, np.uint8, offset=first, count=(r.at + n * total + 7) // 8 - first)
-    bits = np.unpackbits(raw, bitorder="little")[r.at - first * 8 :][: n * total].reshape(n, total)
-    r.at += n * total
-    tables = [c.by_code() for c in group[:4]]
-    if len(set(sizes)) == 1 and all(np.array_equal(tables[0], t) for t in tables[1:]):
-        return tables[0][np.packbits(bits.reshape(n * 4, sizes[0]), axis=1, bitorder="little")].reshape(n, 4)
-    start = 0
-    for channel, size in enumerate(sizes):
-        code = np.packbits(bits[:, start : start + size], axis=1, bitorder="little")[:, 0] if size else 0
-        out[:, channel] = tables[channel][code]
-        start += size
-    return out
+        group, end = groups[0], n
+        if place is not None:
+            y, x = divmod(at, width)
+            group, end = groups[place[y >> shift, x >> shift]], y * width + min(width, ((x >> shift) + 1) << shift)
+        (greens, reds, blues, alphas), (mask_g, mask_r, mask_b, mask_a) = group.lists, group.masks
+        while at < end:
+            first = p >> 3
+            x = number(data[first : first + 9], "little") >> (p & 7)
+            g = greens[x & mask_g]
+            if g >= 0:
+                x >>= g & 63
+                red = reds[x & mask_r]
+                x >>= red & 63
+                b = blues[x & mask_b]
+                g += red + b + alphas[x >> (b & 63) & mask_a]
+                p += g & 63
+                pixels[at] = g >> 6
+                at += 1
+                continue
+            s, p = ~g >> 6, p + (~g & 63)
+            if s >= 280:
+                for x in pixels[noted:at]:
+                    held[(CACHE_FACTOR * x & 0xFFFFFFFF) >> down] = x
+                noted = at
+                pixels[at] = held[s - 280]
+                at += 1
+                continue
+            r.at = p
+            length = _extra(r, s - 256)
+            distance = _extra(r, group.distance.read(r))
+            p = r.at
+            if distance > 120:
+                distance -= 120
+            else:
+                across, up = NEAR[distance - 1]
+                distance = max(1, across + up * width)
+            if distance > at or at + length > n:
+                raise ValueError("a back-reference points outside")
+            while length:  # doubles what is there if it overlaps
+                part = min(length, distance)
+                pixels[at : at + part] = pixels[at - distance : at - distance + part]
+                at, length = at + part, length - part
+    r.at = p
+    r.get(0)
+    return np.frombuffer(pixels, np.uint8).reshape(height, width, 4)[:, :, [1, 2, 0, 3]]
 
 
 def _average(a: list[int], b: list[int]) -> list[int]:
@@ -362,9 +402,54 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
-def put_lengths(w: BitWriter, lengths: list[int]) -> None:
-    """Write the code lengths of an alphabet, none of them by a run."""
-    used = [s for s, n in enumerate(lengths) if n]
+def choose_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
+    """Lengths, at most ``longest``, of a complete prefix code for symbols of these counts.
+
+    Each length is the logarithm of a smoothed share, rounded up; what that leaves of the code space goes to the frequent
+    symbols first.
+    """
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 3:
+        out[used] = 1
+        return out
+    used = used[np.argsort(-counts[used], kind="stable")]
+    weight = counts[used] + counts.sum() / (1 << (longest - 1))
+    sizes = np.maximum(1, np.ceil(np.log2(weight.sum() / weight))).astype(np.int64)
+    shares = 1 << (longest - sizes)
+    free = (1 << longest) - int(shares.sum())
+    sizes, shares = sizes.tolist(), shares.tolist()
+    while free:
+        for i, share in enumerate(shares):
+            if share <= free and sizes[i] > 1:
+                sizes[i] -= 1
+                shares[i] *= 2
+                free -= share
+                if not free:
+                    break
+    out[used] = sizes
+    return out
+
+
+def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """(symbol, extra, bits of it) of the code of code lengths for these."""
+    out = []
+    first = np.flatnonzero(np.diff(lengths, prepend=-1))
+    for n, times in zip(lengths[first].tolist(), np.diff(first, append=len(lengths)).tolist(), strict=True):
+        if n:
+            out.append((n, 0, 0))
+            times -= 1
+        while times >= 3:
+            part = min(times, 6 if n else 138)
+            out.append((16, part - 3, 2) if n else (17, part - 3, 3) if part < 11 else (18, part - 11, 7))
+            times -= part
+        out += [(n, 0, 0)] * times
+    return out
+
+
+def put_lengths(w: BitWriter, lengths: list[int] | np.ndarray) -> None:
+    """Write the code lengths of an alphabet."""
+    used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and (not used or used[-1] < 256):
         used = used or [0]
         w.put(1, 1)
@@ -373,23 +458,25 @@ def put_lengths(w: BitWriter, lengths: list[int]) -> None:
         for s in used:
             w.put(s, 8)
         return
-    w.put(0, 1)
-    lengths = lengths[: used[-1] + 1]
-    kinds = sorted(set(lengths))
-    depth = max(1, (len(kinds) - 1).bit_length())
-    spare = (1 << depth) - len(kinds)  # so many get a code one bit shorter, and the code stays complete
-    sizes = {n: depth - 1 if i < spare and len(kinds) > 1 and depth > 1 else depth for i, n in enumerate(kinds)}
-    w.put(15, 4)
+    runs = _runs(np.asarray(lengths)[: used[-1] + 1])
+    of_lengths = choose_lengths(np.bincount([s for s, _, _ in runs], minlength=19), 7)
+    codes, sizes = (x.tolist() for x in assign(of_lengths))
+    value, n = 15 << 1, 5
+    of_lengths = of_lengths.tolist()
     for place in CODE_LENGTH_ORDER:
-        w.put(sizes.get(place, 0), 3)
-    codes = {s: (c, n) for s, n, c in canonical([sizes.get(i, 0) for i in range(19)])}
-    w.put(1, 1)
-    nbits = max(2, (len(lengths) - 2).bit_length())
-    nbits += nbits & 1
-    w.put((nbits - 2) // 2, 3)
-    w.put(len(lengths) - 2, nbits)
-    for n in lengths:
-        w.put(*codes[n])
+        value |= of_lengths[place] << n
+        n += 3
+    count = len(runs) - 2
+    bits = max(2, count.bit_length())
+    bits += bits & 1
+    value |= (1 | (bits - 2) // 2 << 1 | count << 4) << n
+    n += 4 + bits
+    w.put(value, n)
+    value = n = 0
+    for s, extra, bits in runs:
+        value |= (codes[s] | extra << sizes[s]) << n
+        n += sizes[s] + bits
+    w.put(value, n)
 
 
 def container(bits: np.ndarray) -> bytes:
@@ -407,40 +494,161 @@ def put_size(w: BitWriter, width: int, height: int, alpha: bool = True) -> None:
     w.put(0, 3)
 
 
-def _order() -> np.ndarray:
-    """Place of each byte value in the writer's order: text first, then what UTF-8 adds for Latin scripts."""
-    first = [255, 10, 32, *range(97, 123), *range(65, 91), *range(48, 58), *range(33, 127), 0xC3, 0xC2, *range(0xA0, 0xC0), *range(256)]
-    place = np.empty(256, np.int64)
-    place[list(dict.fromkeys(first))] = np.arange(256)
-    return place
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distances."""
+    x = values - 1
+    high = np.log2(np.maximum(x, 1)).astype(np.int64)
+    bits = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((1 << bits) - 1), bits
 
 
-_PLACE = _order()
-_written: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _last_like(keys: np.ndarray) -> np.ndarray:
+    """For each place the last place before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
-def _codes(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the prefix codes over the first 2**size byte values, and the code of each value."""
-    if size not in _written:
-        w, lengths = BitWriter(), ((_PLACE < 1 << size) * size).tolist()
-        w.put(0, 3)  # no transform, no colour cache, one group of codes
-        for _ in range(4):
-            put_lengths(w, lengths)
-        put_lengths(w, [0] * 40)
-        codes = np.zeros(256, np.uint8)
-        for s, _, c in canonical(lengths):
-            codes[s] = c
-        _written[size] = w.bits(), codes
-    return _written[size]
+#: The longest copy, and the farthest that a distance reaches beyond the short codes.
+LONGEST, FARTHEST = 4096, (1 << 20) - 120
+
+
+def _pack(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of values of up to 63 bits each, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1])
+    starts = ends - sizes
+    word, shift = (starts >> np.uint64(6)).astype(np.int64), starts & np.uint64(63)
+    out = np.zeros(total // 64 + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero(shift + sizes > 64)
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return np.unpackbits(out.view(np.uint8), bitorder="little", count=total)
+
+
+#: Bytes of text, the commoner first, for the standing codes.
+COMMON = b" etaoinsrhldcumfpgwybv\xff.,k\n-TASxICMjBPqDNzRLEFHWGO0123456789'\"()"
+
+
+class Codes:
+    """The codes of a group, and the bits that tell them."""
+
+    def __init__(self, cache_bits: int, main: bool, *counts: np.ndarray) -> None:
+        self.cache_bits = cache_bits
+        lengths = [choose_lengths(c, longest) for c, longest in zip(counts, (11, 10, 10), strict=True)]
+        self.green, self.other, self.back = map(assign, lengths)
+        w = BitWriter()
+        w.put(int(cache_bits > 0), 1)
+        if cache_bits:
+            w.put(cache_bits, 4)
+        if main:
+            w.put(0, 1)
+        for i in (0, 1, 1, 1, 2):
+            put_lengths(w, lengths[i])
+        self.bits = w.bits()
+
+
+_standing: list[Codes] = []
+
+
+def standing_codes() -> Codes:
+    """Codes for images too small to pay for their own, by a rule: a text's bytes by rank, then copies and cached pixels."""
+    if not _standing:
+        other = np.ones(256, np.int64)
+        other[list(COMMON)] = [int(2000 * 0.92**i) + 8 for i in range(len(COMMON))]
+        share = int(other.sum())
+        green = np.concatenate([other, [share // 100] * 12, [1] * 12, [share // 1280] * 256])
+        _standing.append(Codes(8, True, green, other, np.array([1, 9, *[1] * 12, *[16] * 12, *[1] * 14])))
+    return _standing[0]
+
+
+#: Images of fewer pixels, and without a palette, use the standing codes.
+SMALL = 4096
+
+
+def _image_bits(pixels: np.ndarray, main: bool, small: bool = False) -> list[np.ndarray]:
+    """An entropy-coded image of pixels held as green, red, blue, alpha from the lowest byte.
+
+    Two or more pixels that stand at one distance from their last like are copied; of the others, those that the colour
+    cache holds are cache symbols where that saves more than the symbols cost; the rest are literals.  A small image has
+    the standing codes.
+    """
+    n = len(pixels)
+    pairs = pixels[:-1].astype(np.uint64) << np.uint64(32) | pixels[1:]
+    distance = np.append(np.arange(n - 1) - _last_like(pairs), 0)
+    distance[distance > np.arange(n)] = 0  # a pair that wasn't there before
+    starts = np.flatnonzero(np.diff(distance, prepend=-1))
+    apart = distance[starts]
+    starts += (apart == 0) & (starts > 0)  # the last pair of the run before ends a pixel later
+    lengths = np.diff(starts, append=n)
+    keep = (apart > 0) & (apart <= FARTHEST) & (lengths > 1)
+    copied = np.repeat(keep, lengths)
+    parts = -(-lengths[keep] // LONGEST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(starts[keep], parts) + nth * LONGEST
+    length = np.minimum(np.repeat(lengths[keep], parts) - nth * LONGEST, LONGEST)
+    cache_bits = 8 if small else 9
+    argb = (pixels & 0xFF000000) | (pixels >> 8 & 255) << 16 | (pixels & 255) << 8 | (pixels >> 16 & 255)
+    slots = cache_slots(argb, cache_bits).astype(np.int64)
+    held = _last_like(slots)
+    hit = (held >= 0) & (pixels[held] == pixels) & ~copied
+    if not small and 12 * hit.sum() <= 8 * len(np.unique(slots[hit])):
+        cache_bits, hit = 0, np.zeros(n, bool)
+    literal = ~copied & ~hit
+    symbol = np.where(hit, 280 + slots, pixels & 255).astype(np.int64)
+    symbol[begin], length_extra, length_bits = (lambda p, x, b: (256 + p, x, b))(*_prefix(length))
+    token = literal | hit
+    token[begin] = True
+    far = np.repeat(apart[keep], parts)
+    stored = np.where(far == 1, 2, far + 120)  # of the short codes only that of the pixel before
+    far_symbol, far_extra, far_bits = _prefix(stored)
+
+    others = [(pixels[literal] >> (8 * c) & 255).astype(np.int64) for c in (RED, BLUE, ALPHA)]
+    told = (
+        standing_codes()
+        if small
+        else Codes(
+            cache_bits, main,
+            np.bincount(symbol[token], minlength=ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)),
+            np.bincount(np.concatenate(others), minlength=256), np.bincount(far_symbol, minlength=40),
+        )
+    )
+    codes, sizes = told.green
+    value, size = codes[symbol], sizes[symbol]
+    codes, sizes = told.other
+    for s in others:
+        value[literal] |= codes[s] << size[literal]
+        size[literal] += sizes[s]
+    codes, sizes = told.back
+    for extra, bits in ((length_extra, length_bits), (codes[far_symbol], sizes[far_symbol]), (far_extra, far_bits)):
+        value[begin] |= extra.astype(np.uint64) << size[begin]
+        size[begin] += bits.astype(np.uint64)
+    return [told.bits, _pack(value[token], size[token])]
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """Write pixels with literals of 6, 7 or 8 bits, whichever all their samples fit into."""
+    """Write pixels (height, width, 4), as indices into a palette where they have at most 16 colours."""
     height, width, _ = pixels.shape
-    flat = np.ascontiguousarray(pixels).reshape(-1)
-    size = max(6, int(_PLACE[np.flatnonzero(np.bincount(flat, minlength=256))].max()).bit_length())
-    head, codes = _codes(size)
+    flat = np.ascontiguousarray(pixels).reshape(-1).view("<u4")
     w = BitWriter()
     put_size(w, width, height)
-    bits = np.unpackbits(codes[flat][:, None], axis=1, bitorder="little", count=size)
-    return container(np.concatenate([w.bits(), head, bits.ravel()]))
+    parts = []
+    colours = np.unique(flat) if len(np.unique(flat[:64])) <= 16 else flat
+    small = 16 < len(colours) and len(flat) < SMALL
+    if len(colours) <= 16:
+        w.put(1, 1)
+        w.put(3, 2)
+        w.put(len(colours) - 1, 8)
+        deltas = np.diff(colours.view(np.uint8).reshape(-1, 4).astype(int), axis=0, prepend=0).astype(np.uint8)
+        parts = [w.bits(), *_image_bits(deltas.reshape(-1).view("<u4"), False)]
+        per = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2
+        index = np.zeros((height, -(-width // per) * per), np.uint32)
+        index[:, :width] = np.searchsorted(colours, flat).reshape(height, width)
+        index = index.reshape(height, -1, per) << (np.arange(per) * (8 // per)).astype(np.uint32)
+        flat = index.sum(axis=2, dtype=np.uint32).reshape(-1)
+        w = BitWriter()
+    w.put(0, 1)
+    return container(np.concatenate([*parts, w.bits(), *_image_bits(flat, True, small)]))

@@ -131,6 +131,7 @@ class Group:
         self.lists: list[list[int]] = []
         self.masks = [c.mask for c in codes[:4]]
         self.distance = codes[4]
+        self.wide = sum(c.longest for c in codes[:4]) > 57
         for code, place in zip(codes, (8, 16, 0, 24), strict=False):
             symbols, sizes = code.table >> 4, code.table & 15
             entries = symbols << (place + 6) | sizes
@@ -230,13 +231,26 @@ def cache_slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
     return (argb.astype(np.uint64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
 
 
+#: Bytes of the stream that are laid out at once.
+BLOCK = 1 << 14
+
+
+def _windows(data: bytes, first: int, wide: bool) -> list[int]:
+    """The next 8 bytes, or 9 where codes may need them, from each byte of a block on."""
+    block = data[first : first + BLOCK + 9]
+    block += bytes(min(BLOCK, len(block) + 9) + 9 - len(block))
+    if wide:
+        return [int.from_bytes(block[i : i + 9], "little") for i in range(len(block) - 9)]
+    return np.ndarray(len(block) - 9, "<u8", block, 0, (1,)).tolist()
+
+
 def _read_pixels(r: BitReader, groups: list[Group], place: np.ndarray | None, shift: int, width: int, height: int, cache_bits: int) -> np.ndarray:
     """Literals, cache symbols and copies, symbol by symbol; ``place`` has the group of each block of the image."""
     n, data, p = width * height, r.data, r.at
     pixels = array("I", bytes(4 * n))  # alpha, red, green, blue from the highest byte, as the colour cache hashes them
     held, down = [0] * (1 << cache_bits), 32 - cache_bits
-    number = int.from_bytes
-    at = noted = 0
+    limit = at = noted = 0
+    wide = any(g.wide for g in groups)
     while at < n:
         group, end = groups[0], n
         if place is not None:
@@ -244,8 +258,13 @@ def _read_pixels(r: BitReader, groups: list[Group], place: np.ndarray | None, sh
             group, end = groups[place[y >> shift, x >> shift]], y * width + min(width, ((x >> shift) + 1) << shift)
         (greens, reds, blues, alphas), (mask_g, mask_r, mask_b, mask_a) = group.lists, group.masks
         while at < end:
-            first = p >> 3
-            x = number(data[first : first + 9], "little") >> (p & 7)
+            if p >= limit:
+                if p > len(data) * 8:
+                    raise ValueError("the stream ends early")
+                origin = p >> 3 << 3
+                ahead = _windows(data, p >> 3, wide)
+                limit = origin + 8 * len(ahead)
+            x = ahead[p - origin >> 3] >> (p & 7)
             g = greens[x & mask_g]
             if g >= 0:
                 x >>= g & 63
@@ -522,7 +541,7 @@ def _pack(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     starts = ends - sizes
     word, shift = (starts >> np.uint64(6)).astype(np.int64), starts & np.uint64(63)
     out = np.zeros(total // 64 + 2, np.uint64)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
+    first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
     out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
     over = np.flatnonzero(shift + sizes > 64)
     out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
@@ -580,10 +599,10 @@ def _image_bits(pixels: np.ndarray, main: bool, small: bool = False) -> list[np.
     pairs = pixels[:-1].astype(np.uint64) << np.uint64(32) | pixels[1:]
     distance = np.append(np.arange(n - 1) - _last_like(pairs), 0)
     distance[distance > np.arange(n)] = 0  # a pair that wasn't there before
-    starts = np.flatnonzero(np.diff(distance, prepend=-1))
+    starts = np.append(0, np.flatnonzero(distance[1:] != distance[:-1]) + 1)
     apart = distance[starts]
     starts += (apart == 0) & (starts > 0)  # the last pair of the run before ends a pixel later
-    lengths = np.diff(starts, append=n)
+    lengths = np.append(starts[1:], n) - starts
     keep = (apart > 0) & (apart <= FARTHEST) & (lengths > 1)
     copied = np.repeat(keep, lengths)
     parts = -(-lengths[keep] // LONGEST)
@@ -606,22 +625,25 @@ def _image_bits(pixels: np.ndarray, main: bool, small: bool = False) -> list[np.
     stored = np.where(far == 1, 2, far + 120)  # of the short codes only that of the pixel before
     far_symbol, far_extra, far_bits = _prefix(stored)
 
-    others = [(pixels[literal] >> (8 * c) & 255).astype(np.int64) for c in (RED, BLUE, ALPHA)]
+    spots = np.flatnonzero(literal)
+    samples = pixels[spots].view(np.uint8).reshape(-1, 4)
     told = (
         standing_codes()
         if small
         else Codes(
             cache_bits, main,
             np.bincount(symbol[token], minlength=ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)),
-            np.bincount(np.concatenate(others), minlength=256), np.bincount(far_symbol, minlength=40),
+            np.bincount(samples[:, RED:].ravel(), minlength=256), np.bincount(far_symbol, minlength=40),
         )
     )
     codes, sizes = told.green
     value, size = codes[symbol], sizes[symbol]
     codes, sizes = told.other
-    for s in others:
-        value[literal] |= codes[s] << size[literal]
-        size[literal] += sizes[s]
+    whole, taken = value[spots], size[spots]
+    for channel in (RED, BLUE, ALPHA):
+        whole |= codes[samples[:, channel]] << taken
+        taken += sizes[samples[:, channel]]
+    value[spots], size[spots] = whole, taken
     codes, sizes = told.back
     for extra, bits in ((length_extra, length_bits), (codes[far_symbol], sizes[far_symbol]), (far_extra, far_bits)):
         value[begin] |= extra.astype(np.uint64) << size[begin]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -306,6 +310,68 @@ def test_bytes(tmp_path):
         codec.to_bytes({"x": np.array([object()])})
 
 
+@pytest.fixture(scope="module")
+def large(spark):
+    """Two molecules over several blocks and parts, with texts, booleans and nested lists; the second has no chains and no edges."""
+    n = 4 * codec.BLOCK + 1000
+    atoms = spark.range(n * 2).select((F.col("id") % 2).alias("mol_id"), F.floor(F.col("id") / 2).alias("idx"), F.lit(0).cast("long").alias("residue_idx"), F.lit(0).cast("long").alias("chain_idx"), F.rand(7).alias("q"), F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("\u00e9\U0001f600"), "id")).alias("s"), F.col("id").cast("int").alias("i"), (F.col("id") % 5 == 0).alias("b"), F.array(F.array(F.rand(8), F.rand(9)), F.array(F.rand(10), F.lit(0.5))).alias("xy"))
+    atoms = atoms.localCheckpoint()
+    residues = spark.createDataFrame([(0, 0, 0, "A"), (1, 0, 0, "B")], "mol_id long, idx long, chain_idx long, name string")
+    chains = spark.createDataFrame([(0, 0, 1.5)], "mol_id long, idx long, w double")
+    bond = atoms.where("mol_id = 0").select("mol_id", F.col("idx").alias("eid"), F.col("idx").alias("src"), F.lit(0).cast("long").alias("dst"), "q").withColumnRenamed("q", "value")
+    return MolSet.from_tables(atoms, residues, chains, {"atom": {"bond": bond}}, {"id": "x", "deep": {"n": 1}})
+
+
+def test_large_molecules_as_bytes_in_parts(large, spark):
+    rows = codec.encode(large).orderBy("mol_id", "part").collect()
+    for m in (0, 1):
+        own = [r for r in rows if r["mol_id"] == m]
+        assert len(own) > 1 and [r["part"] for r in own] == list(range(len(own))) and max(len(r["data"]) for r in own) <= codec.PART + codec.SLICE
+        whole = b"".join(r["data"] for r in own)
+        data = codec.load_bytes(whole)
+        assert data["metadata"] == {"id": "x", "deep": {"n": 1}} and list(data) == ["metadata", "atom", "atom:bond", "residue", "chain"]
+        want = large.containers["atom"].nodes.where(F.col("mol_id") == m).orderBy("idx").toPandas()
+        for k, v in data["atom"].items():
+            np.testing.assert_array_equal(v, np.array(want[k].map(lambda x: np.stack(x) if k == "xy" else x).tolist()))  # noqa: B023
+        assert data["atom"]["xy"].shape == (len(want), 2, 2) and data["atom"]["i"].dtype == np.int32 and data["atom"]["b"].dtype == bool and (data["chain"] == {}) == (m == 1)
+        raw = [zstandard.ZstdDecompressor().decompress(x) for x in (whole, codec.to_bytes(data))]
+        assert raw[0] == raw[1]  # the very stream that to_bytes compresses at once
+    back = codec.decode(spark.createDataFrame([tuple(r) for r in rows], "mol_id long, part long, data binary"), large)
+    assert back.metadata == large.metadata
+    for lv, c in large.containers.items():
+        other = back.containers[lv]
+        for a, b in ((c.nodes, other.nodes), *((e, other.edges[k]) for k, e in c.edges.items())):
+            b = b.select(a.columns)
+            assert [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema] and a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_bytes_are_read_a_block_at_a_time():
+    """A molecule whose idx column expands to 64 MB out of a small part: what is held stays under a quarter of it."""
+    n = 1 << 23
+    whole = codec.to_bytes({"metadata": {}, "atom": {"idx": np.zeros(n, np.int64)}})
+    batch = pa.record_batch({"mol_id": pa.array([0], pa.int64()), "part": pa.array([0], pa.int64()), "data": pa.array([whole], pa.binary())})
+    before, rows, held = pa.total_allocated_bytes(), 0, 0
+    tracemalloc.start()
+    for out in codec._read_table("atom")(iter([batch])):
+        rows += len(codec._thaw(out.column("data")[0].as_py()))
+        held = max(held, pa.total_allocated_bytes() - before)
+    held += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and held < 2 * n
+
+
+def test_bytes_in_one_row_and_refused_columns(mol, spark):
+    node = {"idx": np.arange(2), "residue_idx": np.zeros(2, int), "chain_idx": np.zeros(2, int), "charge": np.array([0.5, np.nan]), "element": np.array(["C", ""]), "xyz": np.ones((2, 3))}
+    rows = spark.createDataFrame([(7, bytearray(codec.to_bytes({"metadata": {"k": 1}, "atom": node, "residue": {}, "chain": {}})))], "mol_id long, data binary")
+    back = codec.decode(rows, mol)
+    got = back.containers["atom"].nodes.orderBy("idx").collect()
+    assert [(r["mol_id"], r["idx"], r["element"], r["xyz"]) for r in got] == [(7, 0, "C", [1.0] * 3), (7, 1, "", [1.0] * 3)] and got[0]["charge"] == 0.5 and np.isnan(got[1]["charge"])
+    assert back.metadata == {"k": 1} and back.containers["residue"].nodes.isEmpty()
+    for bad in (F.when(F.col("idx") > 0, F.col("charge")), F.sequence(F.lit(0), F.col("idx")), F.current_date()):
+        with pytest.raises(Exception, match="Object arrays"):
+            codec.encode(mol.update_features("atom", bad=bad)).count()
+
+
 def test_tables_round_trip(mol, spark, tmp_path):
     codec.write_tables(mol, f"file://{tmp_path}/m")
     back = codec.read_tables(spark, f"file://{tmp_path}/m", {"atom": ["bond"]}, {"id": "x"})

@@ -7,6 +7,7 @@ Atoms carry ``residue_idx`` and ``chain_idx``, so that a hop over two levels is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
 from typing import TYPE_CHECKING
 
@@ -111,14 +112,24 @@ class Container:
 
 
 class MolSet:
-    """Three containers and metadata.  Views of different sets don't mix, even over equal tables."""
+    """Three containers and metadata, which may be a function that gives it when first asked for.  Views of different sets don't mix, even over equal tables."""
 
-    def __init__(self, atoms: Container, residues: Container, chains: Container, metadata: dict | None = None, validate: bool = False) -> None:
+    def __init__(self, atoms: Container, residues: Container, chains: Container, metadata: dict | Callable[[], dict] | None = None, validate: bool = False) -> None:
         self.containers = {Level.ATOM: atoms, Level.RESIDUE: residues, Level.CHAIN: chains}
-        self.metadata = metadata or {}
+        self._metadata = metadata or {}
         if validate:
             self.validate()
 
+    @property
+    def metadata(self) -> dict:
+        if callable(self._metadata):
+            self._metadata = self._metadata()
+        return self._metadata
+
+    @metadata.setter
+    def metadata(self, metadata: dict) -> None:
+        self._metadata = metadata
+
     @classmethod
     def from_tables(cls, atoms: DataFrame, residues: DataFrame, chains: DataFrame, edges: dict[str, dict[str, DataFrame]] | None = None, metadata: dict | None = None, validate: bool = False) -> MolSet:
         """From node tables; atoms without ``chain_idx`` get it from their residue."""
@@ -149,7 +160,7 @@ class MolSet:
     def replace(self, level: Level, container: Container) -> MolSet:
         """The same set with another container; metadata is shared."""
         out = MolSet(*({**self.containers, level: container}[lv] for lv in Level))
-        out.metadata = self.metadata
+        out._metadata = self._metadata
         return out
 
     def update_features(self, level: str, **features: DataFrame | Column) -> MolSet:
